@@ -197,7 +197,7 @@ def insights(facts_table: DataFrame, key=[METER]) -> DataFrame:
             value.cast("double").alias("value"),
             reference.cast("double").alias("reference"),
             change.cast("double").alias("change_pct"),
-            when.cast("string").alias("at"),
+            when.cast("string").alias("moment"),
             F.lit(action).alias("action"),
         )
 
