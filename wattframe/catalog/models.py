@@ -10,6 +10,7 @@ from ..plans.jobs import get_model, train_job
 from ..session import scratch_path
 from . import standins as s
 from .base import query
+from .features import _SQL_LAGS
 
 SMALL_FOREST = {"numTrees": 10, "maxDepth": 5}
 SMALL_GBT = {"maxIter": 5, "maxDepth": 3}
@@ -55,3 +56,78 @@ def published_forecast(spark, sf_dir):
     run = train_job(d, out, {"linear": {}}, horizon=7)
     model = get_model(spark, out, "linear")
     return fc.forecast_horizons(model, d, (3, 7), bounds=run.bounds, name="linear")
+
+
+# A line on the previous day alone has a closed form, so SQL can check the whole
+# way: features, split, fit, scores and both recursive rollouts.
+LINE = {"linear": {"regParam": 0.0, "solver": "normal"}}
+_W = "OVER (PARTITION BY meter_id ORDER BY day)"
+_SQL_LINE = f"""{s.SQL_DAILY},
+lagged AS (SELECT *, {_SQL_LAGS} FROM daily),
+usable AS (SELECT * FROM lagged WHERE lag_30 IS NOT NULL),
+parts AS (
+  SELECT *, CASE WHEN row_number() {_W} <= floor(count(*) OVER (PARTITION BY meter_id) * 0.8) THEN 'train' ELSE 'test' END AS split
+  FROM usable),
+line AS (SELECT regr_slope(kwh, lag_1) AS b, regr_intercept(kwh, lag_1) AS a FROM parts WHERE split = 'train'),
+scored AS (SELECT meter_id, day AS date, kwh, greatest(0.0, a + b * lag_1) AS prediction FROM parts, line WHERE split = 'test')"""
+
+
+def _sql_line_rollout(h: int, line: str = "line") -> str:
+    return f"""roll AS (
+  SELECT meter_id, day AS last_day, 0 AS step, kwh AS v
+  FROM (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY meter_id ORDER BY day DESC) = 1)
+  UNION ALL
+  SELECT meter_id, last_day, step + 1, greatest(0.0, a + b * v) FROM roll, {line} WHERE step < {h})
+SELECT meter_id, step, CAST(last_day + CAST(step AS INTEGER) AS DATE) AS day, v AS forecast_kwh FROM roll WHERE step > 0"""
+
+
+def _line_run(spark, sf_dir):
+    d = s.daily(spark, sf_dir)
+    return d, mod.benchmark(d, LINE, scale=False, features=["lag_1"])
+
+
+@query("meter_id, date:d, kwh:2, prediction:1", f"WITH {_SQL_LINE} SELECT * FROM scored")
+def line_scores(spark, sf_dir):
+    frame = mod.training_frame(s.daily(spark, sf_dir), scale=False)
+    return mod.score_test(mod.fit(frame, "linear", ["lag_1"], **LINE["linear"]), frame)
+
+
+@query(
+    "model, n:i, mae:2, rmse:2, r2:6",
+    f"""WITH {_SQL_LINE} SELECT 'linear' AS model, count(*) AS n, avg(abs(kwh - prediction)) AS mae,
+sqrt(avg((kwh - prediction) * (kwh - prediction))) AS rmse,
+1 - sum((kwh - prediction) * (kwh - prediction)) / regr_syy(kwh, kwh) AS r2 FROM scored""",
+)
+def line_benchmark(spark, sf_dir):
+    return _line_run(spark, sf_dir)[1].metrics
+
+
+@query("meter_id, step:i, day:d, forecast_kwh:1", f"WITH RECURSIVE {_SQL_LINE}, {_sql_line_rollout(7)}")
+def line_forecast(spark, sf_dir):
+    d, run = _line_run(spark, sf_dir)
+    return fc.forecast(run.best_fit, d, 7, run.bounds, "linear")
+
+
+_SQL_SEQUENCE = f"""{s.SQL_DAILY},
+n AS (SELECT *, row_number() {_W} AS i, count(*) OVER (PARTITION BY meter_id) AS n, lag(kwh, 1) {_W} AS before FROM daily),
+train AS (SELECT * FROM n WHERE i <= floor(n * 0.8)),
+bounds AS (SELECT meter_id, min(kwh) AS lo, max(kwh) AS hi FROM train GROUP BY 1),
+z AS (SELECT (kwh - lo) / (hi - lo) AS z, (before - lo) / (hi - lo) AS zb FROM train t JOIN bounds b ON b.meter_id = t.meter_id WHERE before IS NOT NULL),
+line AS (SELECT regr_slope(z, zb) AS b, regr_intercept(z, zb) AS a FROM z),
+roll AS (
+  SELECT d.meter_id, day AS last_day, 0 AS step, lo, hi, (kwh - lo) / (hi - lo) AS v
+  FROM (SELECT * FROM daily QUALIFY row_number() OVER (PARTITION BY meter_id ORDER BY day DESC) = 1) d JOIN bounds b ON b.meter_id = d.meter_id
+  UNION ALL
+  SELECT meter_id, last_day, step + 1, lo, hi, a + b * v FROM roll, line WHERE step < 14)"""
+
+
+@query(
+    "meter_id, step:i, day:d, forecast_kwh:1",
+    f"""WITH RECURSIVE {_SQL_SEQUENCE}
+SELECT meter_id, step, CAST(last_day + CAST(step AS INTEGER) AS DATE) AS day, greatest(0.0, v * (hi - lo) + lo) AS forecast_kwh FROM roll WHERE step > 0""",
+)
+def sequence_line_forecast(spark, sf_dir):
+    d = s.daily(spark, sf_dir)
+    frame, bounds = fc.sequence_frame(d, 1)
+    line = fc.fit_sequence(frame, mod.CANDIDATES["linear"](**LINE["linear"]))
+    return fc.forecast_sequence(line, d, bounds, 1, 14)

@@ -45,7 +45,15 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@query("meter_id, start:t, end:t, mean_kwh:7, days:i")
+@query(
+    "meter_id, first_day:d, until:d, mean_kwh:7, days:i",
+    """WITH wm AS (SELECT max(ts) - INTERVAL 1 DAY AS wm FROM events),
+d AS (SELECT CAST(user_id AS VARCHAR) AS meter_id, CAST(ts AS DATE) AS day, sum(value) / 60.0 AS kwh FROM events GROUP BY 1, 2),
+closed AS (SELECT * FROM d, wm WHERE day + 1 <= wm),
+spans AS (SELECT *, CAST(day - CAST(k AS INTEGER) AS DATE) AS first_day FROM closed, (SELECT unnest(range(7)) AS k))
+SELECT meter_id, first_day, CAST(first_day + 7 AS DATE) AS until, avg(kwh) AS mean_kwh, count(*) AS days
+FROM spans WHERE first_day + 7 <= wm GROUP BY 1, 2, 3""",
+)
 def stream_sliding_mean(spark, sf_dir):
     path = scratch_path(spark, "stream-sliding")
     run_available(sliding_mean_stream(daily_stream(_events(spark, sf_dir))), "append", path=path)

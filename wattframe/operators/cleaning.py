@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import METER, READING_COLUMNS, TS
-from .series import BLOCK
+from .series import BLOCK, block_of
 
 
 def parse_minute_ts(date_col: str = "Date", time_col: str = "Time") -> Column:
@@ -73,82 +73,97 @@ def interpolate_linear(
     d = d.where(F.col(BLOCK).isNotNull())
     for k in key:
         d = d.where(F.col(k).isNotNull())
-    up = Window.partitionBy(*key, BLOCK).orderBy(time)
-    down = Window.partitionBy(*key, BLOCK).orderBy(F.col(time).desc())
-    d = d.withColumn("_i", F.row_number().over(up).cast("bigint"))
 
-    def known(c: str, i: Column) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(i.alias("i"), F.col(c).alias("v")))
+    group = ", ".join(f"`{k}`" for k in key)
+    inside = f"PARTITION BY {group}, {BLOCK} ORDER BY `{time}`"
+    across = f"PARTITION BY {group} ORDER BY {BLOCK}"
+    so_far = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    earlier = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
+    def each(*templates: str) -> list[str]:
+        return [t.format(c=c) for c in cols for t in templates]
+
+    d = d.selectExpr("*", f"row_number() OVER ({inside}) AS _i")
+    d = d.selectExpr("*", *each("IF(`{c}` IS NULL, NULL, _i) AS `_i_{c}`"))
+    # one row per block: its size, its first and its last known cell of each column
     summary = d.groupBy(*key, BLOCK).agg(
         F.count(F.lit(1)).alias("_n"),
-        *[F.min(known(c, F.col("_i"))).alias(f"_first_{c}") for c in cols],
-        *[F.max(known(c, F.col("_i"))).alias(f"_last_{c}") for c in cols],
-    )
-    before = Window.partitionBy(*key).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    after = (
-        Window.partitionBy(*key).orderBy(F.col(BLOCK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+        *[
+            F.expr(e)
+            for e in each(
+                "min(`_i_{c}`) AS `_fi_{c}`",
+                "min_by(`{c}`, `_i_{c}`) AS `_fv_{c}`",
+                "max(`_i_{c}`) AS `_li_{c}`",
+                "max_by(`{c}`, `_i_{c}`) AS `_lv_{c}`",
+            )
+        ],
     )
-
-    def shifted(side: str, c: str) -> Column:
-        s = F.col(f"_{side}_{c}")
-        return F.when(
-            s.isNotNull(), F.struct((s["i"] + F.col("_off")).alias("i"), s["v"].alias("v"))
-        )
-
-    carry = summary.withColumn("_off", F.coalesce(F.sum("_n").over(before), F.lit(0))).select(
-        *key,
+    carry = summary.selectExpr("*", f"coalesce(sum(_n) OVER ({across} {earlier}), 0) AS _off").selectExpr(
+        *[f"`{k}`" for k in key],
         BLOCK,
         "_off",
-        *[F.last(shifted("last", c), ignorenulls=True).over(before).alias(f"_before_{c}") for c in cols],
-        *[F.last(shifted("first", c), ignorenulls=True).over(after).alias(f"_after_{c}") for c in cols],
-    )
-    run_up, run_down = (
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow) for w in (up, down)
+        *each(
+            f"last(`_li_{{c}}` + _off, true) OVER ({across} {earlier}) AS `_bi_{{c}}`",
+            f"last(`_lv_{{c}}`, true) OVER ({across} {earlier}) AS `_bv_{{c}}`",
+            f"last(`_fi_{{c}}` + _off, true) OVER ({across} DESC {earlier}) AS `_ai_{{c}}`",
+            f"last(`_fv_{{c}}`, true) OVER ({across} DESC {earlier}) AS `_av_{{c}}`",
+        ),
     )
-    local = d.select(
-        "*", *[F.last(known(c, F.col("_i")), ignorenulls=True).over(run_up).alias(f"_prev_{c}") for c in cols]
-    ).select(
-        "*", *[F.last(known(c, F.col("_i")), ignorenulls=True).over(run_down).alias(f"_next_{c}") for c in cols]
-    )
-    joined = local.join(carry, [*key, BLOCK])
-
-    def neighbour(side: str, c: str) -> Column:
-        inside = F.col(f"_{'prev' if side == 'before' else 'next'}_{c}")
-        shifted_inside = F.when(
-            inside.isNotNull(),
-            F.struct((inside["i"] + F.col("_off")).alias("i"), inside["v"].alias("v")),
-        )
-        return F.coalesce(shifted_inside, F.col(f"_{side}_{c}"))
-
-    with_sides = joined.select(
+    # the neighbours inside the block, then those the other blocks bring
+    local = d.selectExpr(
         "*",
-        *[neighbour("before", c).alias(f"_p_{c}") for c in cols],
-        *[neighbour("after", c).alias(f"_q_{c}") for c in cols],
+        *each(
+            f"last(`_i_{{c}}`, true) OVER ({inside} {so_far}) AS `_pi_{{c}}`",
+            f"last(`{{c}}`, true) OVER ({inside} {so_far}) AS `_pv_{{c}}`",
+        ),
+    ).selectExpr(
+        "*",
+        *each(
+            f"last(`_i_{{c}}`, true) OVER ({inside} DESC {so_far}) AS `_qi_{{c}}`",
+            f"last(`{{c}}`, true) OVER ({inside} DESC {so_far}) AS `_qv_{{c}}`",
+        ),
     )
-
-    def filled(c: str) -> Column:
-        p, q = F.col(f"_p_{c}"), F.col(f"_q_{c}")
-        i = F.col("_i") + F.col("_off")
-        on_line = p["v"] + (q["v"] - p["v"]) * (i - p["i"]) / (q["i"] - p["i"])
-        return (
-            F.when(F.col(c).isNotNull(), F.col(c))
-            .when(p.isNotNull() & q.isNotNull(), on_line)
-            .otherwise(F.coalesce(p["v"], q["v"]))
-        )
-
-    out = [filled(c).alias(c) if c in cols else F.col(c) for c in names]
+    sides = local.join(carry, [*key, BLOCK]).selectExpr(
+        *[f"`{c}`" for c in names],
+        BLOCK,
+        "_i + _off AS _pos",
+        *each(
+            "coalesce(`_pi_{c}` + _off, `_bi_{c}`) AS `_pi_{c}`",
+            "coalesce(`_pv_{c}`, `_bv_{c}`) AS `_pv_{c}`",
+            "coalesce(`_qi_{c}` + _off, `_ai_{c}`) AS `_qi_{c}`",
+            "coalesce(`_qv_{c}`, `_av_{c}`) AS `_qv_{c}`",
+        ),
+    )
+    on_line = "`_pv_{c}` + (`_qv_{c}` - `_pv_{c}`) * (_pos - `_pi_{c}`) / (`_qi_{c}` - `_pi_{c}`)"
+    # without a neighbour on one side the line is null and the other side counts
+    filled = f"CASE WHEN `{{c}}` IS NOT NULL THEN `{{c}}` ELSE coalesce({on_line}, `_pv_{{c}}`, `_qv_{{c}}`) END AS `{{c}}`"
+    out = [filled.format(c=c) if c in cols else f"`{c}`" for c in names]
     if keep_block:
-        out.append(F.col(BLOCK).alias(keep_block))
-    return with_sides.select(*out)
+        out.append(f"{BLOCK} AS `{keep_block}`")
+    return sides.selectExpr(*out)
 
 
 def clean_readings(
-    raw: DataFrame, cols: list[str] = READING_COLUMNS, key: list[str] = [METER], time: str = TS, tie: str = "seq"
+    raw: DataFrame,
+    cols: list[str] = READING_COLUMNS,
+    key: list[str] = [METER],
+    time: str = TS,
+    tie: str = "seq",
+    unit: str = "day",
 ) -> DataFrame:
-    """Valid times only, one row per time, gaps filled; adds ``day``."""
-    once = dedup_first(drop_invalid_time(raw, time), [*key, time], tie)
-    return interpolate_linear(once, cols, key, time, keep_block="day")
+    """Valid times only, one row per time, gaps filled: key, time, ``cols``, ``day``.
+
+    The tie column ends with the removal of copies. Carrying it (or any column
+    that is not filled) would make the two uses of the shuffle differ.
+
+    A day holds at most 86,400 readings at the second resolution of the minute
+    layout. For finer times pass a narrower ``unit`` (see ``series.pick_block``).
+    """
+    once = dedup_first(drop_invalid_time(raw, time).select(*key, time, tie, *cols), [*key, time], tie)
+    if unit == "day":
+        return interpolate_linear(once.drop(tie), cols, key, time, keep_block="day")
+    filled = interpolate_linear(once.drop(tie), cols, key, time, block_of(time, unit))
+    return filled.withColumn("day", F.to_date(time))
 
 
 def quality_report(

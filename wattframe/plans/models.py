@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.numeric import clip0, min_max_inverse
 from ..operators.features import engineer_features
@@ -111,8 +111,6 @@ def importances(model: PipelineModel, name: str) -> DataFrame:
 
     The frame has one row per feature, whatever the data size.
     """
-    from pyspark.sql import SparkSession
-
     spark = SparkSession.active()
     last = model.stages[-1]
     values = last.featureImportances.toArray().tolist() if hasattr(last, "featureImportances") else []
@@ -156,6 +154,7 @@ def benchmark(
     ratio: float = 0.8,
     scale: bool = True,
     y: str = KWH,
+    features: list[str] = FEATURES,
 ) -> Benchmark:
     """Fit all candidates on one train part and score them on one test part.
 
@@ -166,7 +165,7 @@ def benchmark(
     frame = materialise(training_frame(daily, ratio, scale, y=y), "features")
     models, evaluations, imps = {}, [], []
     for no, (name, settings) in enumerate(candidates.items()):
-        model = fit(frame, name, **settings)
+        model = fit(frame, name, features, **settings)
         models[name] = model
         scored = score_test(model, frame).withColumns({"model": F.lit(name), "candidate_no": F.lit(no)})
         evaluations.append(error_metrics(scored, y, "prediction", ["model", "candidate_no"]))

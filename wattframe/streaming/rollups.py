@@ -43,5 +43,5 @@ def sliding_mean_stream(daily: DataFrame, days: int = 7, key=[METER]) -> DataFra
     return (
         daily.groupBy(F.window(F.window_time("window"), f"{days} days", "1 day").alias("span"), *key)
         .agg(F.avg("kwh").alias("mean_kwh"), F.count(F.lit(1)).alias("days"))
-        .select(*key, F.col("span.start").alias("start"), F.col("span.end").alias("end"), "mean_kwh", "days")
+        .select(*key, F.to_date("span.start").alias("first_day"), F.to_date("span.end").alias("until"), "mean_kwh", "days")
     )
