@@ -102,7 +102,7 @@ def line_benchmark(spark, sf_dir):
     return _line_run(spark, sf_dir)[1].metrics
 
 
-@query("meter_id, step:i, day:d, forecast_kwh:1", f"WITH RECURSIVE {_SQL_LINE}, {_sql_line_rollout(7)}")
+@query("meter_id, step:i, day:d, forecast_kwh:2", f"WITH RECURSIVE {_SQL_LINE}, {_sql_line_rollout(7)}")
 def line_forecast(spark, sf_dir):
     d, run = _line_run(spark, sf_dir)
     return fc.forecast(run.best_fit, d, 7, run.bounds, "linear")
@@ -122,7 +122,7 @@ roll AS (
 
 
 @query(
-    "meter_id, step:i, day:d, forecast_kwh:1",
+    "meter_id, step:i, day:d, forecast_kwh:2",
     f"""WITH RECURSIVE {_SQL_SEQUENCE}
 SELECT meter_id, step, CAST(last_day + CAST(step AS INTEGER) AS DATE) AS day, greatest(0.0, v * (hi - lo) + lo) AS forecast_kwh FROM roll WHERE step > 0""",
 )
