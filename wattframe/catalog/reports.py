@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import hour_label
+from ..functions.calendar import hour_label, is_weekend
 from ..functions.text import hour_of_text
 from ..operators import features as f
 from ..operators import reports as r
@@ -181,10 +181,9 @@ def temperature_effect(spark, sf_dir):
 UNION ALL SELECT *, 'mild' AS kind FROM weather WHERE temperature <= 26 AND isodow(day) < 6""",
 )
 def day_filters(spark, sf_dir):
-    w = s.weather(spark, sf_dir)
-    hot = r.hot_days(r.day_class(w, weekend=True), "temperature").withColumn("kind", F.lit("hot"))
-    mild = r.mild_days(r.day_class(w, weekend=False), "temperature").withColumn("kind", F.lit("mild"))
-    return hot.unionByName(mild)
+    weekend = is_weekend("day") == 1
+    kind = F.when(r.is_hot("temperature") & weekend, "hot").when(r.is_mild("temperature") & ~weekend, "mild")
+    return s.weather(spark, sf_dir).withColumn("kind", kind).where(F.col("kind").isNotNull())
 
 
 @query(

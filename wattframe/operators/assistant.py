@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.numeric import pct_change
 from ..functions.text import contains_word, normalise
 from ..schema import DAY, KWH, METER
-from .outlook import forecast_summary, forecast_weekend_effect
-from .reports import HOT_ABOVE, MILD_UP_TO, kpi_exprs, submeter_share_exprs, weekend_means
+from .outlook import summary_exprs, weekend_effect_exprs
+from .reports import is_hot, is_mild, kpi_exprs, submeter_share_exprs, weekend_means
 from .savings import CO2_PER_TREE, DEFAULT_CO2, DEFAULT_PCT, DEFAULT_TARIFF
 
 # Intent -> keywords, in order of priority (the first match wins).
@@ -85,9 +85,12 @@ def facts(
     if "sub1_wh" in daily.columns:
         figures.update(submeter_share_exprs(y))
     if temperature:
-        t = F.col(temperature)
-        figures["hot_mean"] = F.avg(F.when(t > HOT_ABOVE, F.col(y)))
-        figures["mild_mean"] = F.avg(F.when(t <= MILD_UP_TO, F.col(y)))
+        figures["hot_mean"] = F.avg(F.when(is_hot(temperature), F.col(y)))
+        figures["mild_mean"] = F.avg(F.when(is_mild(temperature), F.col(y)))
+    # the join with the forecast drops null keys on its side; dropping them here
+    # as well lets both sides read the same shuffle of the history
+    for k in key:
+        daily = daily.where(F.col(k).isNotNull())
     out = daily.withColumn("_back", back).groupBy(*key).agg(*[c.alias(n) for n, c in figures.items()])
     annual = F.col("mean_kwh") * 365.0
     saved = annual * (DEFAULT_PCT / 100.0)
@@ -105,14 +108,11 @@ def facts(
     if temperature:
         out = out.withColumn("temperature_diff_pct", pct_change("hot_mean", "mild_mean"))
     if fc is not None:
-        summary = forecast_summary(fc, key, time)
-        classes = forecast_weekend_effect(fc, key, time).withColumnsRenamed(
-            {"weekend_mean": "forecast_weekend_mean", "weekday_mean": "forecast_weekday_mean"}
-        )
-        out = (
-            out.join(summary, key, "left")
-            .join(classes, key, "left")
-            .withColumn("forecast_delta_pct", pct_change("expected_avg_kwh", "recent_mean"))
+        ahead = {**summary_exprs(time)}
+        for name, c in weekend_effect_exprs(time).items():
+            ahead[f"forecast_{name}"] = c
+        out = out.join(fc.groupBy(*key).agg(*[c.alias(n) for n, c in ahead.items()]), key, "left").withColumn(
+            "forecast_delta_pct", pct_change("expected_avg_kwh", "recent_mean")
         )
     if metrics is not None:
         best = metrics.agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.calendar import day_label, day_name, is_weekend
 from ..functions.numeric import band, pct_change
@@ -22,31 +22,38 @@ def finish_forecast(fc: DataFrame, time=DAY, places: int = 2) -> DataFrame:
     )
 
 
-def forecast_summary(fc: DataFrame, by=GROUP, time=DAY) -> DataFrame:
-    """Mean, total, highest and lowest day; the first day wins a tie. Pass the
-    rounded forecast."""
+def summary_exprs(time=DAY) -> dict[str, Column]:
     y, t = F.col("forecast_kwh"), F.col(time)
     top = F.min_by(t, F.struct((-y).alias("y"), t.alias("t")))
     low = F.min_by(t, F.struct(y.alias("y"), t.alias("t")))
-    return fc.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("horizon_days"),
-        F.round(F.avg(y), 2).alias("expected_avg_kwh"),
-        F.round(F.sum(y), 2).alias("total_expected_kwh"),
-        F.round(F.max(y), 2).alias("max_forecast_kwh"),
-        day_label(top).alias("max_forecast_date"),
-        F.round(F.min(y), 2).alias("min_forecast_kwh"),
-        day_label(low).alias("min_forecast_date"),
-    )
+    return {
+        "horizon_days": F.count(F.lit(1)),
+        "expected_avg_kwh": F.round(F.avg(y), 2),
+        "total_expected_kwh": F.round(F.sum(y), 2),
+        "max_forecast_kwh": F.round(F.max(y), 2),
+        "max_forecast_date": day_label(top),
+        "min_forecast_kwh": F.round(F.min(y), 2),
+        "min_forecast_date": day_label(low),
+    }
+
+
+def forecast_summary(fc: DataFrame, by=GROUP, time=DAY) -> DataFrame:
+    """Mean, total, highest and lowest day; the first day wins a tie. Pass the
+    rounded forecast."""
+    return fc.groupBy(*by).agg(*[c.alias(n) for n, c in summary_exprs(time).items()])
+
+
+def weekend_effect_exprs(time=DAY) -> dict[str, Column]:
+    y, w = F.col("forecast_kwh"), is_weekend(time)
+    return {
+        "weekend_mean": F.coalesce(F.avg(F.when(w == 1, y)), F.avg(y)),
+        "weekday_mean": F.coalesce(F.avg(F.when(w == 0, y)), F.avg(y)),
+    }
 
 
 def forecast_weekend_effect(fc: DataFrame, by=GROUP, time=DAY) -> DataFrame:
     """Weekend and weekday means; a class without days takes the overall mean."""
-    y = F.col("forecast_kwh")
-    w = is_weekend(time)
-    return fc.groupBy(*by).agg(
-        F.coalesce(F.avg(F.when(w == 1, y)), F.avg(y)).alias("weekend_mean"),
-        F.coalesce(F.avg(F.when(w == 0, y)), F.avg(y)).alias("weekday_mean"),
-    )
+    return fc.groupBy(*by).agg(*[c.alias(n) for n, c in weekend_effect_exprs(time).items()])
 
 
 def trend_slope(fc: DataFrame, by=GROUP) -> DataFrame:

@@ -144,10 +144,9 @@ def temperature_effect(daily: DataFrame, temperature: str | None = None, key=[ME
     t = temperature or find_column(daily, "temp")
     if t is None:
         return None
-    t = F.col(t)
     out = daily.groupBy(*key).agg(
-        F.avg(F.when(t > HOT_ABOVE, F.col(y))).alias("hot_mean"),
-        F.avg(F.when(t <= MILD_UP_TO, F.col(y))).alias("mild_mean"),
+        F.avg(F.when(is_hot(t), F.col(y))).alias("hot_mean"),
+        F.avg(F.when(is_mild(t), F.col(y))).alias("mild_mean"),
     )
     return out.withColumn("diff_pct", pct_change("hot_mean", "mild_mean"))
 
@@ -330,14 +329,9 @@ def tail(daily: DataFrame, n: int, key=[METER], time=DAY) -> DataFrame:
     return last_rows(daily, key, time, n)
 
 
-def day_class(daily: DataFrame, weekend: bool, time=DAY) -> DataFrame:
-    """Only weekend days, or only weekdays."""
-    return daily.where(is_weekend(time) == (1 if weekend else 0))
+def is_hot(temperature: str) -> Column:
+    return F.col(temperature) > HOT_ABOVE
 
 
-def hot_days(daily: DataFrame, temperature: str) -> DataFrame:
-    return daily.where(F.col(temperature) > HOT_ABOVE)
-
-
-def mild_days(daily: DataFrame, temperature: str) -> DataFrame:
-    return daily.where(F.col(temperature) <= MILD_UP_TO)
+def is_mild(temperature: str) -> Column:
+    return F.col(temperature) <= MILD_UP_TO

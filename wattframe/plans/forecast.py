@@ -23,7 +23,7 @@ from ..schema import DAY, EPS_RATIO, FEATURES, HISTORY_ROWS, KWH, LAGS, METER, R
 from ..session import cut_lineage
 from .models import TARGET, scale_feature
 
-CHECKPOINT_EVERY = 10
+CHECKPOINT_EVERY = 5
 
 
 def _recent(n: int) -> Column:
