@@ -74,9 +74,10 @@ def test_dedup_keeps_the_first_in_file_order(readings):
     assert [(r["meter_id"], r["seq"], r["active_power_kw"]) for r in got] == [("a", 2, None), ("b", 1, 1.0)]
 
 
-def test_dedup_combines_before_the_shuffle(readings):
+def test_copies_go_before_the_shuffle(readings):
     plan = c.dedup_first(readings(rows_of([1.0])), ["meter_id", "ts"], "seq")._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min_by" in plan and "SortAggregate" not in plan
+    before_shuffle = plan[plan.index("Exchange hashpartitioning") :]
+    assert "WindowGroupLimit" in before_shuffle and "Partial" in before_shuffle
 
 
 def test_quality_report(readings):

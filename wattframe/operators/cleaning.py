@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import METER, READING_COLUMNS, TS
 from .series import BLOCK, block_of
@@ -32,14 +32,12 @@ def numeric_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 def dedup_first(df: DataFrame, keys: list[str], tie: str) -> DataFrame:
     """One row per ``keys``: the one with the lowest ``tie`` (file order).
 
-    An aggregate, not a window: copies collapse before the shuffle, so a reading
-    repeated a billion times costs one row per task. ``tie`` must be unique
-    inside a group of copies.
+    Spark keeps the first row per task before the shuffle already
+    (``WindowGroupLimit``), so a reading repeated a billion times moves one row
+    per task.
     """
-    rest = [c for c in df.columns if c not in keys and c != tie]
-    picked = [F.min_by(F.col(c), F.col(tie)).alias(c) for c in rest]
-    out = df.groupBy(*keys).agg(*picked, F.min(tie).alias(tie))
-    return out.select(*df.columns)
+    w = Window.partitionBy(*keys).orderBy(tie)
+    return df.withColumn("_copy", F.row_number().over(w)).where(F.col("_copy") == 1).drop("_copy")
 
 
 def any_missing(cols: list[str]) -> Column:
