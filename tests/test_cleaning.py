@@ -3,7 +3,6 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from wattframe.operators import cleaning as c
 from wattframe.operators.rollup import add_energy, day_spine, resample_daily

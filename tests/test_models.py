@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from wattframe.operators.outlook import finish_forecast, forecast_distance, scaled
+from wattframe.operators.outlook import forecast_distance, scaled
 from wattframe.plans import forecast as fc
 from wattframe.plans import models as mod
 from wattframe.plans.jobs import get_model, train_job

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..plans import forecast as fc
 from ..plans import models as mod
 from ..plans.jobs import get_model, train_job
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from . import standins as s
 from .base import query
 from .features import _SQL_LAGS
@@ -32,13 +30,13 @@ def gbt_benchmark(spark, sf_dir):
 
 @query("model, feature, importance:6, rank:i")
 def importances(spark, sf_dir):
-    frame = mod.training_frame(s.daily(spark, sf_dir))
+    frame = materialise(mod.training_frame(s.daily(spark, sf_dir)), "features")
     return mod.top_features(mod.importances(mod.fit(frame, "random_forest", **SMALL_FOREST), "random_forest"))
 
 
 @query("meter_id, date:d, kwh:2, prediction:2")
 def test_scores(spark, sf_dir):
-    frame = mod.training_frame(s.daily(spark, sf_dir))
+    frame = materialise(mod.training_frame(s.daily(spark, sf_dir)), "features")
     return mod.score_test(mod.fit(frame, "linear"), frame)
 
 
@@ -88,7 +86,7 @@ def _line_run(spark, sf_dir):
 
 @query("meter_id, date:d, kwh:2, prediction:1", f"WITH {_SQL_LINE} SELECT * FROM scored")
 def line_scores(spark, sf_dir):
-    frame = mod.training_frame(s.daily(spark, sf_dir), scale=False)
+    frame = materialise(mod.training_frame(s.daily(spark, sf_dir), scale=False), "features")
     return mod.score_test(mod.fit(frame, "linear", ["lag_1"], **LINE["linear"]), frame)
 
 

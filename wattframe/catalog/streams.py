@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import scratch_path
 from ..streaming import FeatureSink, UpsertSink, daily_stream, dedup_stream, latest, run_available, sliding_mean_stream
 from ..streaming.rollups import as_days
-from . import standins as s
 from .base import query, table
 from .features import _SQL_LAGS, _SQL_ROLLING
 

@@ -89,7 +89,10 @@ def training_frame(daily: DataFrame, ratio: float = 0.8, scale: bool = True, key
 
 
 def fit(frame: DataFrame, estimator: Estimator | str, features: list[str] = FEATURES, **settings) -> PipelineModel:
-    """Fit any estimator with ``features`` and ``prediction`` columns on the train rows."""
+    """Fit any estimator with ``features`` and ``prediction`` columns on the train rows.
+
+    Fitting reads the frame several times: pass a stored one (``materialise``).
+    """
     if isinstance(estimator, str):
         estimator = candidate(estimator, **settings)
     assembler = VectorAssembler(inputCols=features, outputCol="features")

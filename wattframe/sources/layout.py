@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..operators.cleaning import (
     clean_readings, dedup_first, drop_invalid_time, interpolate_linear, parse_daily_ts, parse_minute_ts,
@@ -29,17 +29,6 @@ def snake(name: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^0-9a-z]+", "_", name.lower())).strip("_")
 
 
-def snake_columns(df: DataFrame, prefix: str = "src_") -> DataFrame:
-    """Raw headers to ``src_*`` names, so that none collides with ours."""
-    seen: dict[str, int] = {}
-    out: list[Column] = []
-    for c in df.columns:
-        n = prefix + snake(c)
-        seen[n] = seen.get(n, 0) + 1
-        out.append(F.col(f"`{c}`").alias(n if seen[n] == 1 else f"{n}_{seen[n]}"))
-    return df.select(*out)
-
-
 def first_numeric_column(df: DataFrame, skip: tuple[str, ...] = ()) -> str | None:
     """First column of a numeric type, or of text that converts without loss.
 
