@@ -67,7 +67,7 @@ def copies(sized: DataFrame, goal: DataFrame, seed: int = 7) -> DataFrame:
     group = ["_key", "_class", "_bucket"]
     in_source = Window.partitionBy("_key").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = d.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(in_source), F.lit(0))).drop("_n")
-    d = d.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy("size", "doc_id")))
+    d = d.withColumn("_place", F.row_number().over(Window.partitionBy(group).orderBy("size", "doc_id", *[F.xxhash64(c) for c in d.columns if c == "text"])))
     d = d.join(starts, group).join(goal, "_key")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("_key.s"))), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
     at = lambda k: F.floor(offset + F.col("_rate") * k)
@@ -90,6 +90,16 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     return copies(sized, goal, seed).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """The mix itself: ``docs``, each row as often as it is taken."""
+    n = F.size(words(F.col("text"))).cast("bigint").alias("size")
+    goal = materialise(targets(materialise(docs.select("source", n), "mix-sizes")), "mix-targets")
+    # figures of the mix must not clash with columns of the documents
+    kept = docs.select("doc_id", "source", "text", n, F.struct(*docs.columns).alias("_row"))
+    taken = copies(kept, goal, seed).where("copies > 0").select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy"))
+    return taken.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 SQL = rf"""
 WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY 1),

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import jaccard, mixing, packing, quality, sharding, substring, suffixarray, topk, warc
+from . import jaccard, mixing, packing, quality, secrets, sharding, substring, suffixarray, topk, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_packing": packing.op6_packing,
     "op7_mixing": mixing.op7_mixing,
     "op8_suffix_array": suffixarray.op8_suffix_array,
+    "op9_secrets": secrets.op9_secrets,
     "op10_topk": topk.op10_topk,
 }
 SQL = {"op1_quality_rules": quality.SQL, "op4_warc": warc.SQL, "op7_mixing": mixing.SQL, "op10_topk": topk.SQL}

@@ -26,7 +26,7 @@ WINDOW = 400
 GRAM, REACH = 16, 48
 #: Bytes on either side of a place that decide whether it is one.
 _LEFT, _RIGHT = REACH, REACH + GRAM
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = np.array([0x9E3779B97F4A7C15], np.uint64)
 _PIECE = 1 << 20
 
 
