@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import materialise
 from .common import map_batches, utf8
 
-#: Contexts of one anchor key that are compared in one group; a key that has more is counted by its windows.
-KEY_LIMIT = 20_000
+#: Contexts of one anchor key that are compared in one group, some 30 MB; a key that has more is counted by its windows.
+KEY_LIMIT = 60_000
 #: Contexts in a group, on average.
 GROUP_ROWS = 4_000
 NOTHING = hashlib.sha256(b"").hexdigest()
@@ -175,8 +175,9 @@ def remove(docs: DataFrame, t: DataFrame, live: DataFrame, u: Units, name: str)
         F.min_by(F.struct("doc_id", "loose"), "uid").alias("x"), F.min("uid").alias("uid"), F.sum("rows").alias("copies"), F.max("rows").alias("most")
     )
     classes = materialise(classes.select("sha", "uid", "x.doc_id", "x.loose", "copies", "most"), f"{name}-classes")
-    keys = live.groupBy("key").count().where(F.col("count") > KEY_LIMIT).select("key", F.lit(True).alias("big"))
-    of_class = live.join(keys, "key", "left").join(classes.select("uid"), "uid")
+    of_class = live.join(classes.select("uid"), "uid")  # one text of each class
+    keys = of_class.groupBy("key").count().where(F.col("count") > KEY_LIMIT).select("key", F.lit(True).alias("big"))
+    of_class = of_class.join(keys, "key", "left")
     per = of_class.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("big", F.lit(False)).alias("big")))).alias("live"))
     wanted = classes.join(per, "uid", "left").where("live IS NOT NULL OR loose").select("sha", "uid", "doc_id", "live", "loose")
     no_id = -(1 << 63)
