@@ -44,7 +44,7 @@ class Anchors:
     key: np.ndarray  # equal for the anchors of equal windows
     lo: np.ndarray  # first and last start of the windows whose anchor it is
     hi: np.ndarray
-    loose: np.ndarray  # starts of windows without an anchor
+    places: int = 0  # anchors that are places; the others come after them
 
 
 def window_names(units, starts, u: Units) -> list[bytes]:
@@ -58,10 +58,10 @@ def contexts(rows: DataFrame, u: Units) -> DataFrame:
     def run(batch):
         out: dict[str, list] = {k: [] for k in ("uid", "key", "pos", "lo", "hi", "context", "name")}
         held = 0
-        for uid, text, live, loose in zip(batch.column("uid").to_pylist(), utf8(batch, "text"), batch.column("live").to_pylist(), batch.column("loose").to_pylist(), strict=True):
+        for uid, text, live in zip(batch.column("uid").to_pylist(), utf8(batch, "text"), batch.column("live").to_pylist(), strict=True):
             units = u.split(text)
             a = u.anchors(units)
-            for x in live or ():
+            for x in live:
                 i, lo, hi = x["i"], int(a.lo[x["i"]]), int(a.hi[x["i"]])
                 if x["big"]:
                     for s, name in zip(range(lo, hi + 1), window_names(units, range(lo, hi + 1), u), strict=True):
@@ -73,11 +73,6 @@ def contexts(rows: DataFrame, u: Units) -> DataFrame:
                     for k, v in zip(out, (uid, int(a.key[i].view(np.int64)), int(a.pos[i]), lo, hi, c, None), strict=True):
                         out[k].append(v)
                     held += len(c)
-            if loose:
-                for s, name in zip(a.loose.tolist(), window_names(units, a.loose, u), strict=True):
-                    for k, v in zip(out, (uid, None, None, int(s), None, None, name), strict=True):
-                        out[k].append(v)
-                held += 40 * len(a.loose)
             if held > 4 << 20:
                 yield out
                 out, held = {k: [] for k in out}, 0
@@ -166,20 +161,20 @@ def resolve(pieces: DataFrame, u: Units) -> DataFrame:
 def remove(docs: DataFrame, t: DataFrame, live: DataFrame, u: Units, name: str) -> DataFrame:
     """Take the repeated windows out: ``doc_id, n, n_removed, n_spans, kept_sha256``.
 
-    ``t``: ``uid, doc_id, n, sha, loose`` of every row; ``live``: ``uid, i, key`` of
+    ``t``: ``uid, doc_id, n, sha`` of every row; ``live``: ``uid, i, key`` of
     the anchors that may lie in a repeat. Equal texts are compared once; if they are
     as long as a window, all of each is repeated.
     """
-    by_id = t.groupBy("sha", "doc_id").agg(F.min("uid").alias("uid"), F.count("*").alias("rows"), F.max("loose").alias("loose"))
+    by_id = t.groupBy("sha", "doc_id").agg(F.min("uid").alias("uid"), F.count("*").alias("rows"))
     classes = by_id.groupBy("sha").agg(
-        F.min_by(F.struct("doc_id", "loose"), "uid").alias("x"), F.min("uid").alias("uid"), F.sum("rows").alias("copies"), F.max("rows").alias("most")
+        F.min_by(F.struct("doc_id"), "uid").alias("x"), F.min("uid").alias("uid"), F.sum("rows").alias("copies"), F.max("rows").alias("most")
     )
-    classes = materialise(classes.select("sha", "uid", "x.doc_id", "x.loose", "copies", "most"), f"{name}-classes")
+    classes = materialise(classes.select("sha", "uid", "x.doc_id", "copies", "most"), f"{name}-classes")
     of_class = live.join(classes.select("uid"), "uid")  # one text of each class
     keys = of_class.groupBy("key").count().where(F.col("count") > KEY_LIMIT).select("key", F.lit(True).alias("big"))
     of_class = of_class.join(keys, "key", "left")
     per = of_class.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("big", F.lit(False)).alias("big")))).alias("live"))
-    wanted = classes.join(per, "uid", "left").where("live IS NOT NULL OR loose").select("sha", "uid", "doc_id", "live", "loose")
+    wanted = classes.join(per, "uid").select("sha", "uid", "doc_id", "live")
     no_id = -(1 << 63)
     side = lambda d: F.coalesce(d["doc_id"].cast("bigint"), F.lit(no_id)).alias("_id")
     texts = docs.select(side(docs), "text", u.digest(F.coalesce("text", F.lit(""))).alias("sha"))
@@ -187,7 +182,7 @@ def remove(docs: DataFrame, t: DataFrame, live: DataFrame, u: Units, name: str)
     if (classes.agg(F.max("most")).head()[0] or 1) > 1:  # rows that repeat others
         texts = texts.dropDuplicates(["uid"])
     texts = materialise(texts, f"{name}-texts")
-    pieces = materialise(contexts(texts.select("uid", "text", "live", "loose"), u), f"{name}-pieces")
+    pieces = materialise(contexts(texts.select("uid", "text", "live"), u), f"{name}-pieces")
     marked = resolve(pieces, u).groupBy("uid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def cut(batch):

@@ -32,14 +32,14 @@ def anchors(units: list[bytes]) -> Anchors:
     n_windows = len(units) - WINDOW + 1
     none = np.zeros(0, np.int64)
     if n_windows < 1:
-        return Anchors(none, np.zeros(0, np.uint64), none, none, none)
+        return Anchors(none, np.zeros(0, np.uint64), none, none)
     h = runs(_KNOWN.of(units), PREFIX, _FACTORS)
     span = WINDOW - PREFIX + 1
     views = np.lib.stride_tricks.sliding_window_view(h, span)
     at = np.concatenate([views[k : k + 8192].argmin(1) + np.arange(k, min(k + 8192, n_windows)) for k in range(0, n_windows, 8192)])
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     pos = at[first]
-    return Anchors(pos, h[pos], first, np.r_[first[1:] - 1, n_windows - 1], none)
+    return Anchors(pos, h[pos], first, np.r_[first[1:] - 1, n_windows - 1])
 
 
 def numbers(joined: list[bytes]) -> list[np.ndarray]:
@@ -58,16 +58,16 @@ WORDS = Units(
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, sha, cls, loose`` and the anchors' ``keys`` and ``again`` (twice in the text), per row."""
+    """``doc_id, n, sha, cls`` and the anchors' ``keys`` and ``again`` (twice in the text), per row."""
 
     def run(batch):
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "sha", "cls", "loose", "keys", "again")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "sha", "cls", "keys", "again")}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), strict=True):
             units = text.split()
             digest = hashlib.sha256(b" ".join(units))
             key = anchors(units).key
             _, of, count = np.unique(key, return_inverse=True, return_counts=True)
-            row = (doc_id, len(units), digest.hexdigest(), int.from_bytes(digest.digest()[:8], "little", signed=True), False, key.view(np.int64), count[of] > 1)
+            row = (doc_id, len(units), digest.hexdigest(), int.from_bytes(digest.digest()[:8], "little", signed=True), key.view(np.int64), count[of] > 1)
             for k, v in zip(out, row, strict=True):
                 out[k].append(v)
             if len(out["n"]) == 1000:
@@ -76,7 +76,7 @@ def scan(docs: DataFrame) -> DataFrame:
         if out["n"]:
             yield out
 
-    schema = "doc_id BIGINT, n BIGINT, sha STRING, cls BIGINT, loose BOOLEAN, keys ARRAY<BIGINT>, again ARRAY<BOOLEAN>"
+    schema = "doc_id BIGINT, n BIGINT, sha STRING, cls BIGINT, keys ARRAY<BIGINT>, again ARRAY<BOOLEAN>"
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema)
 
 

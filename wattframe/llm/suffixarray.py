@@ -71,10 +71,14 @@ def stretch_hashes(b: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
 
 
 def anchors(b: np.ndarray) -> Anchors:
-    """A window's anchor is the first place that lies in it with all the bytes that decide it."""
+    """A window's anchor is the first place that lies in it with all the bytes that decide it.
+
+    A window without any is anchored at its leftmost least run of ``GRAM`` bytes; such
+    anchors follow the places.
+    """
     n_windows, none = len(b) - WINDOW + 1, np.zeros(0, np.int64)
     if n_windows < 1:
-        return Anchors(none, np.zeros(0, np.uint64), none, none, none)
+        return Anchors(none, np.zeros(0, np.uint64), none, none)
     pos = places(b)
     last = np.r_[-1, pos[:-1] - _LEFT] if len(pos) else none
     lo, hi = np.maximum(last + 1, pos + _RIGHT - WINDOW), np.minimum(pos - _LEFT, n_windows - 1)
@@ -83,17 +87,39 @@ def anchors(b: np.ndarray) -> Anchors:
     some = hi >= lo
     np.add.at(held, lo[some], 1)
     np.add.at(held, hi[some] + 1, -1)
-    return Anchors(pos, stretch_hashes(b, pos - _LEFT, pos + _RIGHT), lo, hi, np.flatnonzero(np.cumsum(held)[:-1] == 0))
+    key, more = stretch_hashes(b, pos - _LEFT, pos + _RIGHT), leftover_anchors(b, np.flatnonzero(np.cumsum(held)[:-1] == 0))
+    return Anchors(*(np.concatenate(x) for x in zip((pos, key, lo, hi), more, strict=True)), places=len(pos))
+
+
+def leftover_anchors(b: np.ndarray, starts: np.ndarray):
+    """``pos, key, lo, hi`` for windows that hold no place."""
+    found = []
+    span = WINDOW - GRAM + 1
+    cut = np.flatnonzero(np.diff(starts) > 1) + 1
+    for run in np.split(starts, cut) if len(starts) else []:
+        for k in range(0, len(run), 4096):
+            s0, count = int(run[k]), min(4096, len(run) - k)
+            h = grams(b[s0 : s0 + count - 1 + WINDOW])
+            at = np.lib.stride_tricks.sliding_window_view(h, span).argmin(1) + np.arange(count)
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            last = np.r_[first[1:] - 1, count - 1]
+            found.append((at[first] + s0, h[at[first]] ^ _BASE, first + s0, last + s0))
+    none = np.zeros(0, np.int64)
+    return [np.concatenate(x) for x in zip(*found, strict=True)] if found else [none, np.zeros(0, np.uint64), none, none]
 
 
 def phrases(b: np.ndarray, a: Anchors) -> tuple[np.ndarray, np.ndarray]:
     """Names of the phrases from each place to the next (0 after the last), and how often the
-    rank must be doubled: the largest k with 2^k phrases in every window of the place; -1 for none."""
+    rank must be doubled: the largest k with 2^k phrases in every window of the place; -1 for
+    none, and for anchors that are no places; -2 where no window is anchored."""
+    pos = a.pos[: a.places]
     name = np.zeros(len(a.pos), np.uint64)
-    if len(a.pos) > 1:
-        name[:-1] = stretch_hashes(b, a.pos[:-1], a.pos[1:] + GRAM)
-    inside = np.searchsorted(a.pos, a.lo + WINDOW - _RIGHT, side="right") - 1 - np.arange(len(a.pos))
-    return name, np.where(inside > 0, np.floor(np.log2(np.maximum(inside, 1))), -1).astype(np.int64)
+    if len(pos) > 1:
+        name[: len(pos) - 1] = stretch_hashes(b, pos[:-1], pos[1:] + GRAM)
+    inside = np.zeros(len(a.pos), np.int64)
+    inside[: len(pos)] = np.searchsorted(pos, a.lo[: len(pos)] + WINDOW - _RIGHT, side="right") - 1 - np.arange(len(pos))
+    depth = np.where(inside > 0, np.floor(np.log2(np.maximum(inside, 1))), -1)
+    return name, np.where(a.hi >= a.lo, depth, -2).astype(np.int8)
 
 
 BYTES = Units(
@@ -107,20 +133,18 @@ BYTES = Units(
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, sha, cls, loose`` and per place ``key, phrase, depth, again``, a row per row of ``docs``."""
+    """``doc_id, n, sha, cls`` and per place ``key, phrase, depth, again``, a row per row of ``docs``."""
 
     def run(batch):
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "sha", "cls", "loose", "keys", "phrase", "depth", "again")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "sha", "cls", "keys", "phrase", "depth", "again")}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), strict=True):
             digest, b = hashlib.sha256(text), np.frombuffer(text, np.uint8)
             a = anchors(b)
             name, depth = phrases(b, a)
-            # a place without windows of its own takes part in no round of its own
-            depth = np.where(a.hi >= a.lo, depth, -2)
             _, of, count = np.unique(a.key, return_inverse=True, return_counts=True)
             row = (
-                doc_id, len(text), digest.hexdigest(), int.from_bytes(digest.digest()[:8], "little", signed=True), len(a.loose) > 0,
-                a.key.view(np.int64), name.view(np.int64), depth.astype(np.int8), count[of] > 1,
+                doc_id, len(text), digest.hexdigest(), int.from_bytes(digest.digest()[:8], "little", signed=True),
+                a.key.view(np.int64), name.view(np.int64), depth, count[of] > 1,
             )
             for k, v in zip(out, row, strict=True):
                 out[k].append(v)
@@ -130,7 +154,7 @@ def scan(docs: DataFrame) -> DataFrame:
         if out["n"]:
             yield out
 
-    schema = "doc_id BIGINT, n BIGINT, sha STRING, cls BIGINT, loose BOOLEAN, keys ARRAY<BIGINT>, phrase ARRAY<BIGINT>, depth ARRAY<TINYINT>, again ARRAY<BOOLEAN>"
+    schema = "doc_id BIGINT, n BIGINT, sha STRING, cls BIGINT, keys ARRAY<BIGINT>, phrase ARRAY<BIGINT>, depth ARRAY<TINYINT>, again ARRAY<BOOLEAN>"
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema)
 
 
