@@ -12,6 +12,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialise
+
 #: A run of key characters; a candidate holds a digit, or a capital after a small letter.
 RUN = r"[A-Za-z0-9+/_=\-]{16,}+"
 MIXED = r"[0-9]|[a-z][A-Z]"
@@ -91,8 +93,9 @@ def labelled_findings(docs: DataFrame, most: int = LABELLED) -> DataFrame:
     order numbers, checksums, identifiers, addresses) are drawn from the row's hash. Findings
     labelled by hand can be used instead: any table with ``doc_id, text, source, label``.
     """
-    some = docs.where("text IS NOT NULL").select("source", "text", F.sha2("text", 512).alias("h"), F.sha2(F.concat(F.lit("2"), "text"), 512).alias("g"))
-    some = some.orderBy("h").limit(most).select("source", "h", "g", F.slice(F.filter(F.split("text", r"\W+"), lambda w: F.length(w) > 2), 1, 4).alias("w"))
+    lent = F.slice(F.filter(F.slice(F.split("text", r"\W+", 13), 1, 12), lambda w: F.length(w) > 2), 1, 4).alias("w")
+    some = docs.where("text IS NOT NULL").select("source", lent, F.sha2("text", 512).alias("h"), F.sha2(F.concat(F.lit("2"), "text"), 512).alias("g"))
+    some = some.orderBy("h").limit(most)
     w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit("item"))
     h, g = F.col("h"), F.col("g")
     b64 = lambda n: F.substring(F.base64(F.unhex(g)), 1, n)
@@ -129,7 +132,8 @@ def assemble(df: DataFrame) -> DataFrame:
 def train(labelled: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> RandomForestClassificationModel:
     """Fit on labelled findings; a label goes to every candidate of its text."""
     texts = labelled.select(F.xxhash64("text").alias("text_key"), "label").dropDuplicates(["text_key"])
-    found = features(candidates(labelled), words).join(texts, "text_key").select(*FEATURES, "label").coalesce(4)
+    found = features(candidates(labelled), words).join(texts, "text_key").select(*FEATURES, "label")
+    found = materialise(found.coalesce(4), "labelled-features")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(assemble(found))
 
 
@@ -144,7 +148,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, least: float = 0.5)
     * Other columns are not read.
     """
     words = dictionary(docs)
-    labelled = labelled_findings(docs) if labelled is None else labelled
+    labelled = materialise(labelled_findings(docs), "labelled") if labelled is None else labelled
     found = features(candidates(docs), words)
     kinds = labelled.agg(F.count_distinct("label")).head()[0]
     if kinds < 2:
