@@ -6,11 +6,10 @@ from wattframe.operators import assistant as a
 from wattframe.operators.baselines import forecast_baseline
 from wattframe.operators.outlook import finish_forecast
 
-# Intent of each known question, in order.
 INTENTS = [
-    "greeting", "forecast", "peak", "weekend", "historical", "model", "features", "schedule", "savings", "weather",
-    "submetering", "forecast", "peak", "weekend", "schedule", "model", "savings",
-]
+    "greeting", "forecast", "peak", "weekend", "historical", "model", "features", "schedule", "savings", "weather", "submetering",
+    "fallback",
+]
 
 
 def route(spark, texts):

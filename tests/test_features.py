@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wattframe.operators import features as f
 from wattframe.operators import split as sp
-from wattframe.operators.series import block_of, in_chunks, pick_block, with_position
+from wattframe.operators.series import block_of, in_chunks, with_position
 from wattframe.schema import FEATURES
 
 RNG = np.random.default_rng(3)
@@ -95,12 +95,6 @@ def test_chunks_equal_the_whole_series(spark, chunk_rows):
     assert cut.exceptAll(whole).count() == 0 and cut.count() == whole.count()
 
 
-@pytest.mark.parametrize("target, unit", [(10**6, "day"), (20, "hour"), (3, "minute"), (0, "second")])
-def test_block_follows_the_densest_block(spark, target, unit):
-    # 88 readings a day, four an hour, one a minute
-    assert pick_block(_hours(spark), ["meter_id"], "ts", target) == unit
-
-
 @pytest.mark.parametrize("unit", ["day", "hour", "minute", "second"])
 def test_position_does_not_depend_on_the_block(spark, unit):
     a = with_position(_hours(spark), ["meter_id"], "ts", block_of("ts", unit))

@@ -135,3 +135,23 @@ def test_published_settings():
     assert (rf.getNumTrees(), rf.getMaxDepth(), rf.getSeed()) == (200, 12, 42)
     assert (gbt.getMaxIter(), gbt.getStepSize(), gbt.getMaxDepth(), gbt.getSubsamplingRate()) == (150, 0.05, 4, 0.85)
     assert (wide.getMaxIter(), wide.getStepSize(), wide.getSubsamplingRate(), wide.getFeatureSubsetStrategy()) == (200, 0.04, 0.8, "0.8")
+
+
+def test_no_meter_is_lost_or_crashes_for_being_short(spark, series):
+    sizes = (1, 10, 30, 31, 32, 120)
+    d = series({f"m{n}": [10 + (i * 7 + n) % 5 for i in range(n)] for n in sizes})
+    run = mod.benchmark(d, {"linear": {}})
+    out = fc.forecast(run.best_fit, d, 3, run.bounds, "linear").collect()
+    assert sorted((r["meter_id"], r["step"]) for r in out) == sorted((f"m{n}", k) for n in sizes for k in (1, 2, 3))
+    assert all(r["forecast_kwh"] is not None and r["forecast_kwh"] >= 0 for r in out)
+    frame, bounds = fc.sequence_frame(d, 7)
+    seq = fc.forecast_sequence(fc.fit_sequence(frame), d, bounds, 7, 3).collect()
+    assert len(seq) == 3 * len(sizes) and all(r["forecast_kwh"] is not None for r in seq)
+
+
+def test_scenarios_share_the_bounds_of_their_meter(spark, series):
+    d = series({"a": [10 + i % 7 for i in range(120)]})
+    run = mod.benchmark(d, {"linear": {}})
+    cases = d.selectExpr("*", "explode(array('low', 'high')) AS scenario").selectExpr("meter_id", "scenario", "day", "kwh * if(scenario = 'low', 0.9, 1.1) AS kwh")
+    out = fc.forecast(run.best_fit, cases, 2, run.bounds, "linear", key=["meter_id", "scenario"]).collect()
+    assert sorted((r["scenario"], r["step"]) for r in out) == [("high", 1), ("high", 2), ("low", 1), ("low", 2)]

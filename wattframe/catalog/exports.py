@@ -11,7 +11,7 @@ from ..sources import tables as t
 from ..sources.readers import first_available, read_telemetry
 from . import standins as s
 from .base import query
-from .outlook import _FC_COLUMNS, _FC_SPEC, _P, _SQL_METRICS, _SQL_PERSISTENCE, _evaluations
+from .outlook import _FC_COLUMNS, _FC_SPEC, _P, _SQL_MA, _SQL_METRICS, _SQL_PERSISTENCE, _evaluations
 from .features import _SQL_SPLIT
 from .reports import _SQL_PROFILE
 
@@ -38,12 +38,13 @@ def profile_saved(spark, sf_dir):
 
 @query(
     "model, n:i, mae:3, rmse:3",
-    f"""WITH {_SQL_SPLIT}, {_SQL_PERSISTENCE} SELECT 'persistence' AS model, {_SQL_METRICS} FROM p_rows WHERE kwh > 0""",
+    f"""WITH {_SQL_SPLIT}, {_SQL_PERSISTENCE}, {_SQL_MA} SELECT 'persistence' AS model, {_SQL_METRICS} FROM p_rows
+UNION ALL SELECT 'ma7' AS model, {_SQL_METRICS} FROM m_rows""",
 )
 def run_saved(spark, sf_dir):
     path = scratch_path(spark, "run")
     t.write_run(path, round_metrics(_evaluations(spark, sf_dir, [])))
-    return t.read_run(spark, path, "metrics").where("model = 'persistence'")
+    return t.read_run(spark, path, "metrics")
 
 
 @query("meter_id, day:d, kwh:2", f"WITH {s.SQL_DAILY} SELECT * FROM daily")

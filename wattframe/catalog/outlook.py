@@ -50,17 +50,17 @@ def actual_vs_predicted(spark, sf_dir):
 
 
 _SQL_METRICS = """count(*) AS n, avg(abs(kwh - prediction)) AS mae, sqrt(avg((kwh - prediction) * (kwh - prediction))) AS rmse,
-1 - sum((kwh - prediction) * (kwh - prediction)) / regr_syy(kwh, kwh) AS r2,
-avg(abs(kwh - prediction) / greatest(abs(kwh), 0.00001)) * 100.0 AS mape"""
-_METRIC_SPEC = "n:i, mae:3, rmse:3, r2:6, mape:3"
+1 - sum((kwh - prediction) * (kwh - prediction)) / nullif(regr_syy(kwh, kwh), 0) AS r2,
+avg(abs(kwh - prediction) / greatest(abs(kwh), 0.00001)) * 100.0 AS mape, log10(1 + avg(abs(kwh - prediction) / greatest(abs(kwh), 0.00001)) * 100.0) AS mape_log10"""
+# a day without energy makes the percentage huge; its logarithm keeps the digits that count
+_METRIC_SPEC = "n:i, mae:3, rmse:3, r2:6, mape_log10:6"
 
 
 def _evaluations(spark, sf_dir, by):
-    # a gap day has no energy, and a percentage of nothing says nothing
     split = _split(spark, sf_dir)
     tables = []
     for no, (name, fn) in enumerate((("persistence", b.baseline_persistence), ("ma7", b.baseline_ma))):
-        scored = fn(split).where("kwh > 0").withColumns({"model": F.lit(name), "candidate_no": F.lit(no)})
+        scored = fn(split).withColumns({"model": F.lit(name), "candidate_no": F.lit(no)})
         tables.append(m.error_metrics(scored, "kwh", "prediction", [*by, "model", "candidate_no"]))
     return m.compare_models(*tables)
 
@@ -68,18 +68,18 @@ def _evaluations(spark, sf_dir, by):
 @query(
     f"meter_id, model, {_METRIC_SPEC}",
     f"""WITH {_SQL_SPLIT}, {_SQL_PERSISTENCE}, {_SQL_MA}
-SELECT meter_id, 'persistence' AS model, {_SQL_METRICS} FROM p_rows WHERE kwh > 0 GROUP BY 1
-UNION ALL SELECT meter_id, 'ma7' AS model, {_SQL_METRICS} FROM m_rows WHERE kwh > 0 GROUP BY 1""",
+SELECT meter_id, 'persistence' AS model, {_SQL_METRICS} FROM p_rows GROUP BY 1
+UNION ALL SELECT meter_id, 'ma7' AS model, {_SQL_METRICS} FROM m_rows GROUP BY 1""",
 )
 def baseline_metrics(spark, sf_dir):
-    return _evaluations(spark, sf_dir, ["meter_id"])
+    return _evaluations(spark, sf_dir, ["meter_id"]).withColumn("mape_log10", F.log10(1 + F.col("mape")))
 
 
 @query(
     "model, rmse:3",
     f"""WITH {_SQL_SPLIT}, {_SQL_PERSISTENCE}, {_SQL_MA},
-e AS (SELECT 'persistence' AS model, 0 AS no, {_SQL_METRICS} FROM p_rows WHERE kwh > 0
-      UNION ALL SELECT 'ma7', 1, {_SQL_METRICS} FROM m_rows WHERE kwh > 0)
+e AS (SELECT 'persistence' AS model, 0 AS no, {_SQL_METRICS} FROM p_rows
+      UNION ALL SELECT 'ma7', 1, {_SQL_METRICS} FROM m_rows)
 SELECT model, rmse FROM e ORDER BY rmse, no LIMIT 1""",
 )
 def model_comparison(spark, sf_dir):

@@ -155,7 +155,7 @@ def clean_readings(
     that is not filled) would make the two uses of the shuffle differ.
 
     A day holds at most 86,400 readings at the second resolution of the minute
-    layout. For finer times pass a narrower ``unit`` (see ``series.pick_block``).
+    layout. For finer times pass a narrower ``unit``.
     """
     once = dedup_first(drop_invalid_time(raw, time).select(*key, time, tie, *cols), [*key, time], tie)
     if unit == "day":

@@ -20,24 +20,6 @@ CHUNK = "_chunk"
 HALO = "_halo"
 
 
-UNITS = ("day", "hour", "minute", "second")
-
-
-def pick_block(df: DataFrame, key: list[str], time: str, target_rows: int = 1_000_000) -> str:
-    """The widest time unit whose fullest ``(key, unit)`` block fits a task.
-
-    One pass over key and time: counts per minute, added up to hours and days,
-    and a single row for the driver. A meter that owns a third of a dense table
-    gets narrow blocks; ordinary meters keep whole days.
-    """
-    n, t = F.sum("_n").alias("_n"), F.col("_t")
-    minutes = df.groupBy(*key, F.date_trunc("minute", time).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    hours = minutes.groupBy(*key, F.date_trunc("hour", t).alias("_t")).agg(n, F.max("_n").alias("_minute"))
-    days = hours.groupBy(*key, F.to_date(t).alias("_t")).agg(n, F.max("_n").alias("_hour"), F.max("_minute").alias("_minute"))
-    top = days.agg(F.max("_n").alias("day"), F.max("_hour").alias("hour"), F.max("_minute").alias("minute")).head()
-    return next((u for u in UNITS[:3] if (top[u] or 0) <= target_rows), UNITS[3])
-
-
 def block_of(time: str, unit: str) -> Column:
     return F.to_date(time) if unit == "day" else F.date_trunc(unit, time)
 
@@ -77,18 +59,19 @@ def in_chunks(
     lookback: int,
     fn: Callable[[DataFrame, list[str]], DataFrame],
     chunk_rows: int = 50_000,
-    unit: str | None = None,
+    unit: str = "hour",
 ) -> DataFrame:
     """Run a backward-looking window function on chunks of at most
     ``chunk_rows + lookback`` rows; the result equals that on the whole series.
 
     ``fn(df, key)`` gets the chunked frame and the extended key, and may add
     columns that depend on the row itself and up to ``lookback`` earlier rows.
-    Rows are numbered in blocks of one time ``unit``, measured when not given.
+    Rows are numbered in blocks of one time ``unit``; pass a finer one for readings
+    many times a second.
     """
     if not 0 < lookback < chunk_rows:
         raise ValueError("need 0 < lookback < chunk_rows")
-    pos = with_position(df, key, time, block_of(time, unit or pick_block(df, key, time)))
+    pos = with_position(df, key, time, block_of(time, unit))
     zero = F.col("_pos") - 1
     own = F.floor(zero / chunk_rows)
     rest = F.pmod(zero, F.lit(chunk_rows))

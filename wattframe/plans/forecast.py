@@ -76,6 +76,12 @@ def _explode(state: DataFrame, key: list[str], time: str, name: str, horizon: in
     )
 
 
+def _with_bounds(state: DataFrame, bounds: DataFrame, key: list[str]) -> DataFrame:
+    on = [k for k in key if k in bounds.columns]
+    own = {"lo": F.coalesce("lo", F.array_min("buf")), "hi": F.coalesce("hi", F.array_max("buf"))}
+    return state.join(bounds.select(*on, "lo", "hi"), on, "left").withColumns(own)
+
+
 def forecast(
     model: PipelineModel,
     daily: DataFrame,
@@ -89,13 +95,15 @@ def forecast(
 ) -> DataFrame:
     """Forecast every meter ``horizon`` days ahead, each prediction becoming part
     of the history of the next. ``bounds`` holds ``lo`` and ``hi`` per meter when
-    the model was trained on scaled series. Values are rounded in the result only.
+    the model was trained on scaled series; they join on the key columns they have, so
+    that scenarios of a meter share them, and a meter without bounds takes the range of
+    its own last values. Values are rounded in the result only.
     """
     state = history_buffer(daily, HISTORY_ROWS, key, time, y)
     if bounds is None:
         state = state.withColumns({"lo": F.lit(0.0), "hi": F.lit(1.0)})
     else:
-        state = state.join(bounds.select(*key, "lo", "hi"), key)
+        state = _with_bounds(state, bounds, key)
     state = state.withColumn("fc", F.array().cast("array<double>"))
     carried = [*key, "last_day", "lo", "hi"]
     projections = step_projections()
@@ -164,12 +172,13 @@ def forecast_sequence(
 ) -> DataFrame:
     """Roll the window of scaled values forward; values are clipped at the end only.
 
-    Meters with fewer than ``lookback`` rows have no window and no forecast.
+    A meter with fewer than ``lookback`` rows starts from its first value, held.
     """
+    missing = F.array_repeat(F.get("buf", F.lit(0)), F.lit(lookback) - F.size("buf"))
+    state = history_buffer(daily, lookback, key, time, y)
     state = (
-        history_buffer(daily, lookback, key, time, y)
-        .where(F.size("buf") == lookback)
-        .join(bounds, key)
+        _with_bounds(state, bounds, key)
+        .withColumn("buf", F.concat(missing, "buf"))
         .withColumns({"buf": F.transform("buf", lambda v: min_max(v, "lo", "hi")), "fc": F.array().cast("array<double>")})
     )
     carried = [*key, "last_day", "lo", "hi"]

@@ -73,7 +73,8 @@ def training_frame(daily: DataFrame, ratio: float = 0.8, scale: bool = True, key
     if scale:
         train_y = F.when(F.col("split") == "train", F.col(y))
         w = Window.partitionBy(*key)
-        d = d.withColumns({"lo": F.min(train_y).over(w), "hi": F.max(train_y).over(w)})
+        # a meter too short for a train row takes the range of all its rows
+        d = d.withColumns({n: F.coalesce(f(train_y).over(w), f(y).over(w)) for n, f in (("lo", F.min), ("hi", F.max))})
     else:
         d = d.withColumns({"lo": F.lit(0.0), "hi": F.lit(1.0)})
     return d.select(

@@ -53,8 +53,14 @@ def resolve_target(df: DataFrame, candidates: list[str] = TARGET_CANDIDATES, ski
     return named or first_numeric_column(df, skip) or df.columns[1]
 
 
+def with_place(raw: DataFrame) -> DataFrame:
+    """A table that brings no place of its own gets the order in which it is read."""
+    return raw if SEQ in raw.columns else raw.withColumn(SEQ, F.monotonically_increasing_id())
+
+
 def minute_readings(raw: DataFrame, meter: str | None = None) -> DataFrame:
     """Raw minute rows to typed readings ``(meter_id, ts, seq, 7 values)``."""
+    raw = with_place(raw)
     who = F.col(meter).cast("string") if meter else F.lit("main")
     return raw.select(
         who.alias(METER),
@@ -66,6 +72,7 @@ def minute_readings(raw: DataFrame, meter: str | None = None) -> DataFrame:
 
 def daily_rows(raw: DataFrame, meter: str | None = None, fmt: str = "yyyy-MM-dd", target: str | None = None) -> DataFrame:
     """Raw daily rows to ``(meter_id, ts, seq, kwh, src_*)``."""
+    raw = with_place(raw)
     target = target or resolve_target(raw)
     src = [c for c in raw.columns if c not in (SEQ, meter)]
     who = F.col(meter).cast("string") if meter else F.lit("main")
@@ -92,12 +99,14 @@ def prepare_daily(
     fmt: str = "yyyy-MM-dd",
     spine: bool | None = None,
     readings_per_hour: int = 60,
+    target: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Any raw table to ``(daily, report)``.
 
     The daily table has the energy, calendar and first lag columns; the report
     has one row per meter. ``spine`` fills missing days; by default that happens
-    for minute data only, and a daily table keeps its rows as they are.
+    for minute data only, and a daily table keeps its rows as they are. ``target``
+    names the energy column of a daily table; else it is looked for.
     """
     layout = layout or detect_layout(raw.columns)
     if layout == "minute":
@@ -106,7 +115,7 @@ def prepare_daily(
         daily = resample_daily(clean_readings(readings), readings_per_hour=readings_per_hour)
         sums = ["power_sum", "sub1_wh", "sub2_wh", "sub3_wh", KWH, "remainder_wh"]
     else:
-        rows = daily_rows(raw, meter, fmt)
+        rows = daily_rows(raw, meter, fmt, target)
         report = quality_report(rows, [KWH], layout=layout)
         once = dedup_first(drop_invalid_time(rows), [METER, TS], SEQ)
         month = F.trunc(TS, "month")

@@ -33,10 +33,10 @@ def read_telemetry(
     A DataFrame passes through unchanged. Types are not inferred: that would be
     a second pass over the data, and the cleaning step converts explicitly.
 
-    ``seq`` is the place of a row: a hash of the file in the top bits, then byte
-    offset of the split plus row number in the task. It increases along each
-    file, which is what "keep the first of the copies" needs, and it is the same
-    in every run over the same files.
+    ``seq`` is the place of a row: a hash of the file, then byte offset of the
+    split plus row number in the task. It increases along each file, which is what
+    "keep the first of the copies" needs, and it is the same in every run over
+    the same files.
     """
     if isinstance(source, DataFrame):
         return source
@@ -46,9 +46,9 @@ def read_telemetry(
     raw = spark.read.csv(source, header=True, sep=sep, inferSchema=False, enforceSchema=False)
     if seq is None:
         return blank_markers(raw)
-    file_no = F.pmod(F.xxhash64("_metadata.file_path"), F.lit(1 << 17))
+    file_no = F.xxhash64("_metadata.file_path").alias("file")
     row_no = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    place = F.shiftleft(file_no, 45) + F.col("_metadata.file_block_start") + row_no
+    place = F.struct(file_no, (F.col("_metadata.file_block_start") + row_no).alias("place"))
     placed = raw.select(*[F.col(f"`{c}`") for c in raw.columns], place.alias(seq))
     return blank_markers(placed)
 
