@@ -1,0 +1,234 @@
+"""Operators on documents against brute force, and on awkward tables."""
+
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from check import database, differences
+from wattframe.llm import jaccard, mixing, packing, quality, queries, repeats, secrets, sharding, substring, suffixarray
+
+WORDS = [w + v for w in "ba be bi bo bu da de di do du ka ke ki ko ku la le li lo lu".split() for v in ("", "n", "r", "s", "t")]
+
+
+def prose(n, seed):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def passages():
+    a, b = prose(120, 1), prose(90, 2)
+    rows = [prose(200, 10 + i) for i in range(4)]
+    rows += [f"{rows[0]} {a} {rows[1]}", f"{rows[2]} {a}", f"{b} x {b}", b + " tail", rows[3], rows[3], "go " * 300, "é" * 500 + a[:450], prose(34, 5)]
+    return rows + [rows[0].replace(" ", "  ", 3)]
+
+
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_matches_sql(name, spark, small_dir):
+    got = queries.QUERIES[name](spark, small_dir).toPandas()
+    assert differences(got, database(small_dir).execute(queries.SQL[name]).df()) is None
+
+
+# ------------------------------------------------------------------ repeated passages
+
+
+def brute(texts, width, by_words):
+    units = [(t or "").encode().split() if by_words else (t or "").encode() for t in texts]
+    seen = Counter(tuple(u[k : k + width]) if by_words else u[k : k + width] for u in units for k in range(len(u) - width + 1))
+    out = []
+    for u in units:
+        gone = [False] * len(u)
+        for k in range(len(u) - width + 1):
+            if seen[tuple(u[k : k + width]) if by_words else u[k : k + width]] > 1:
+                gone[k : k + width] = [True] * width
+        kept = [x for x, g in zip(u, gone) if not g]
+        spans = sum(g and not p for g, p in zip(gone, [False, *gone]))
+        out.append((len(u), sum(gone), spans, hashlib.sha256(b" ".join(kept) if by_words else bytes(kept)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("limit", [repeats.KEY_LIMIT, 1])
+@pytest.mark.parametrize("module, width, by_words", [(substring, 35, True), (suffixarray, 400, False)])
+def test_repeats(docs, monkeypatch, limit, module, width, by_words):
+    monkeypatch.setattr(repeats, "KEY_LIMIT", limit)  # 1: everything is counted by windows
+    texts = passages()
+    got = {r[0]: tuple(r)[1:] for r in module.dedup(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, width, by_words)
+
+
+@pytest.mark.parametrize("module, width, by_words", [(substring, 35, True), (suffixarray, 400, False)])
+def test_repeats_on_edges(edges, module, width, by_words):
+    rows = [(r.doc_id, r.text) for r in edges.select("doc_id", "text").collect()]
+    got = sorted(tuple(r)[1:] for r in module.dedup(edges).collect())
+    assert got == sorted(brute([t for _, t in rows], width, by_words))
+    assert module.dedup(edges.limit(0)).count() == 0
+
+
+def test_windows_without_a_place_have_an_anchor():
+    b = np.frombuffer(prose(2000, 3).encode(), np.uint8)
+    a = suffixarray.anchors(b)
+    held = np.zeros(len(b) - 399, int)
+    for lo, hi in zip(a.lo, a.hi):
+        held[max(lo, 0) : hi + 1] += 1
+    assert (held == 1).all()
+
+
+# ------------------------------------------------------------------ near copies
+
+
+def brute_links(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    near = [[bool(a and b) and i != j and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min([root[i], *(root[j] for j in range(len(texts)) if near[i][j])]) for i in range(len(texts))]
+    return [(len(s), r, sum(x)) for s, r, x in zip(sets, root, near)]
+
+
+@pytest.mark.parametrize("chunk, neighbours", [(jaccard.CHUNK, jaccard.NEIGHBOURS), (4, 2)])
+def test_links(docs, monkeypatch, chunk, neighbours):
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(jaccard, "NEIGHBOURS", neighbours)
+    r, base = random.Random(4), prose(150, 7).split()
+    texts = [" ".join(base), " ".join(base).upper()]
+    for _ in range(25):
+        w = list(base)
+        for _ in range(r.randint(1, 9)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts.append(" ".join(w[: r.randint(130, 150)]))
+    texts += ["a b", "A  b", "a c", "", None, prose(80, 8), prose(80, 9)]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in jaccard.join(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_links(texts)
+
+
+def test_links_on_edges(edges):
+    rows = jaccard.join(edges).collect()
+    assert len(rows) == edges.count() and all((r.component_id is None) == (r.doc_id is None) for r in rows)
+    by = {r.doc_id: r for r in rows}
+    assert by[5].component_id == by[6].component_id == 5 and by[5].n_links == 2 and by[0].n_shingles == 0
+    assert jaccard.join(edges.limit(0)).count() == 0
+
+
+# ------------------------------------------------------------------ the others
+
+
+def test_quality_on_edges(edges):
+    q = quality.quality(edges)
+    rows = q.collect()
+    assert len(rows) == edges.count() and {"size", "key", "uid"} <= set(q.columns)
+    by = {r.doc_id: r for r in rows if r.doc_id is not None}
+    assert by[0].base_failed and by[1].n_words == 0 and not by[7].kept and by[7].n_repeat_words == 3000
+    assert quality.quality(edges.limit(0)).count() == 0
+
+
+def test_quality_lines(docs):
+    good = ". ".join(prose(12, i) for i in range(8)) + "."
+    last = prose(20, 99) + "!"
+    text = f"{good}\nHome | News | Sport | Contact\nAll rights reserved.\nMenu\n{last}"
+    r = quality.quality(docs([text, " | ".join(prose(90, 3).split())])).orderBy("doc_id").collect()
+    assert r[0].kept and r[0].clean_text == f"{good}\n{last}" and not r[1].kept
+
+
+@pytest.mark.parametrize("shards", [1, 7, 40])
+def test_shards(docs, edges, shards):
+    many = docs([prose(5 + i % 50, i) for i in range(600)])
+    for d in (many, edges, edges.limit(0)):
+        got = sharding.shard(d, shards).collect()
+        assert len(got) == d.count()
+        want = Counter((len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in d.collect())
+        assert Counter((r["size"], r.text_crc32) for r in got) == want
+        for s in {r.shard for r in got}:
+            assert 0 <= s < shards and sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+    size = Counter()
+    for r in sharding.shard(many, shards).collect():
+        size[r.shard] += r["size"]
+    assert max(size.values()) - min(size.values()) < 0.1 * sum(size.values()) / shards
+
+
+def test_slot_maps_move_little():
+    load = [random.Random(1).randint(1, 99) for _ in range(500)]
+    even = [s * 8 // 500 for s in range(500)]
+    new = sharding.grow(sharding.rebalance(even, load, 8), load, 8)
+    assert set(new) == set(range(9)) and all(a == b or b == 8 for a, b in zip(sharding.rebalance(even, load, 8), new))
+
+
+def test_packing(docs, edges):
+    coder = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = [prose(5000, 1), "Straße, ÉCOLE's 12 o'clock <|endoftext|> ⁣ \x1c x", "İ ΟΔΟΣ ΟΔΟΣ é", "", None]
+    for d in (docs(texts), edges, edges.limit(0)):
+        got = packing.pack(d).collect()
+        coder.encode_special_tokens = True
+        want = Counter(tuple([*coder.encode(r.text or "", add_special_tokens=False).ids, 2]) for r in d.collect())
+        stream = sorted(got, key=lambda r: (r.sequence_id, r.offset))
+        ids = np.concatenate([np.frombuffer(r.ids, "<u4") for r in stream]) if stream else np.zeros(0)
+        at = np.cumsum([0, *(r.length for r in stream)])
+        assert [(r.sequence_id * 4096 + r.offset) for r in stream] == at[:-1].tolist() and len(ids) == sum(map(len, want.elements()))
+        whole, k = Counter(), 0
+        while k < len(ids):
+            n = next(r for r in stream if r.sequence_id * 4096 + r.offset == k).doc_tokens
+            whole[tuple(ids[k : k + n].tolist())] += 1
+            k += n
+        assert whole == want and all(zlib.crc32(r.ids) == r.ids_crc32 for r in stream)
+
+
+def test_mix_on_edges(edges):
+    rows = mixing.mix(edges).collect()
+    assert len(rows) == edges.count() and all(0 <= r.taken <= 2 * r["size"] and r.target <= 2 * r.source_size for r in rows)
+    assert mixing.mix(edges.limit(0)).count() == 0
+    out = mixing.mixed_documents(edges)
+    assert out.columns == edges.columns and out.count() > 0
+
+
+def test_secrets_held_out(spark, small_dir):
+    d = spark.read.parquet(f"{small_dir}/documents.parquet")
+    labelled = secrets.labelled_findings(d).withColumn("part", secrets.F.pmod(secrets.F.xxhash64("text"), secrets.F.lit(4)))
+    words = secrets.dictionary(d)
+    model = secrets.train(labelled.where("part > 0"), words)
+    held = labelled.where("part = 0").selectExpr("xxhash64(text) AS text_key", "label").distinct()
+    scored = model.transform(secrets.assemble(secrets.features(secrets.candidates(labelled.where("part = 0")), words))).join(held, "text_key")
+    n, right = scored.agg(secrets.F.count("*"), secrets.F.count_if(secrets.F.col("prediction") == secrets.F.col("label"))).head()
+    assert n > 20 and right >= 0.85 * n
+
+
+def test_redaction(docs, edges):
+    key = hashlib.sha1(b"x").hexdigest()
+    rows = [prose(60, i) + "." for i in range(120)]
+    rows[3] += f' token = "{key}" again {key}'
+    rows[4] += " 4929123412341234 end"
+    d = docs(rows)
+    out = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert len(out) == 120 and key not in out[3] and secrets.MASK in out[3]
+    assert all(out[i] == rows[i] for i in range(120) if i != 3)
+    assert secrets.redact(edges).count() == edges.count() and secrets.redact(edges.limit(0)).count() == 0
+
+
+def test_pipeline(docs, spark, tmp_path):
+    rows = [(i, "\n".join(prose(12, 40 * i + k) + "." for k in range(9)), f"s{i % 3}") for i in range(40)]
+    rows += [(100, rows[0][1], "s0"), (101, rows[1][1].replace("ba ", "ka ", 1), "s1"), (102, "too short", "s2"), rows[2]]
+    rows[5] = (5, rows[5][1] + '\ntoken = "' + hashlib.sha1(b"y").hexdigest() + '" is the token of the day.', "s2")
+    d = docs(rows).select("doc_id", "text", "lang", "source", "n_chars")
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    step, names = spark.read.parquet(str(tmp_path / "documents.parquet")), [n for n, _ in corpus_pipeline.STAGES]
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        path = str(tmp_path / name.replace(" ", "-"))
+        stage(spark, step, str(tmp_path)).write.parquet(path)
+        step = spark.read.parquet(path)
+        assert step.columns == d.columns
+    left = {r.doc_id: r.text for r in step.collect()}
+    assert names[0] == "quality rules" and sorted(left) == list(range(40)) and step.count() == 40
+    assert secrets.MASK in left[5] and all(left[i] == rows[i][1] for i in range(40) if i != 5)
+    mixed = corpus_pipeline.mix(spark, step, str(tmp_path))
+    taken = Counter(r.doc_id for r in mixed.collect())
+    want = Counter({r.doc_id: r.copies for r in mixing.mix(step).collect() if r.copies})
+    assert taken == want and mixed.columns == d.columns
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == want

@@ -95,7 +95,7 @@ def labelled_findings(docs: DataFrame, most: int = LABELLED) -> DataFrame:
     """
     lent = F.slice(F.filter(F.slice(F.split("text", r"\W+", 13), 1, 12), lambda w: F.length(w) > 2), 1, 4).alias("w")
     some = docs.where("text IS NOT NULL").select("source", lent, F.sha2("text", 512).alias("h"), F.sha2(F.concat(F.lit("2"), "text"), 512).alias("g"))
-    some = some.orderBy("h").limit(most)
+    some = some.orderBy("h", "source").limit(most)
     w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit("item"))
     h, g = F.col("h"), F.col("g")
     b64 = lambda n: F.substring(F.base64(F.unhex(g)), 1, n)
