@@ -119,15 +119,17 @@ def test_sequence_model(daily):
 
 def test_job_publishes_and_is_found(spark, daily, tmp_path):
     out = str(tmp_path / "reg")
-    job = train_job(daily, out, {"linear": {}}, horizon=3)
+    train_job(daily, out, {"linear": {}}, horizon=3)
     assert read_run(spark, out, "metrics").count() == 1 and read_run(spark, out, "summary").count() == 2
-    model = get_model(spark, out, "linear")
-    a = fc.forecast(model, daily, 3, job.bounds).select("meter_id", "day", "forecast_kwh")
+    found = get_model(spark, out, "linear")
+    assert found.name == "linear"
+    a = fc.forecast(found.model, daily, 3, found.bounds).select("meter_id", "day", "forecast_kwh")
     assert a.exceptAll(read_run(spark, out, "forecast").select("meter_id", "day", "forecast_kwh")).count() == 0
-    assert get_model(spark, out, "no such name") is not None
+    assert get_model(spark, out, "no such name").name == "best"
     with pytest.raises(FileNotFoundError):
         get_model(spark, str(tmp_path / "empty"), "linear")
-    assert get_model(spark, str(tmp_path / "empty"), "linear", daily) is not None
+    trained = get_model(spark, str(tmp_path / "empty"), "linear", daily)
+    assert trained.name == "linear" and trained.bounds.count() == 2
 
 
 def test_published_settings():

@@ -30,5 +30,5 @@ def test_entry_is_lazy_and_has_rows(spark):
 
 def test_only_models_lack_sql():
     assert set(ROWS_ONLY) == {
-        "rf_forecast", "gbt_benchmark", "importances", "test_scores", "sequence_forecast", "published_forecast",
+        "rf_forecast", "importances", "test_scores", "sequence_forecast",
     }

@@ -40,7 +40,7 @@ def stream_daily(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     path = scratch_path(spark, "stream-dedup")
     hourly = _events(spark, sf_dir).withColumn("ts", F.date_trunc("hour", "ts"))
-    run_available(dedup_stream(hourly, delay="40 days"), "append", path=path)
+    run_available(dedup_stream(hourly, delay="2 days"), "append", path=path)
     return spark.read.parquet(path)
 
 

@@ -3,27 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.metrics import round_metrics
 from ..operators.outlook import forecast_summary
-from ..sources.tables import load_model, save_model, write_forecast, write_run
+from ..schema import FEATURES
+from ..sources.tables import load_model, read_run, save_model, write_forecast, write_run
 from .forecast import forecast
 from .models import Benchmark, benchmark
 
 
+class Published(NamedTuple):
+    """A model with the scaling bounds it was trained with: all a forecast needs."""
+
+    name: str
+    model: PipelineModel
+    bounds: DataFrame
+
+
 def train_job(
     daily: DataFrame,
     out: str,
     candidates: Mapping[str, Mapping] | None = None,
     horizon: int = 30,
     scale: bool = True,
+    features: list[str] = FEATURES,
 ) -> Benchmark:
     """Benchmark the candidates, forecast with the best one, and publish models,
     metrics, importances, bounds, forecast and summary under ``out``."""
-    run = benchmark(daily, candidates, scale=scale)
+    run = benchmark(daily, candidates, scale=scale, features=features)
     best = run.best
     for name, model in run.models.items():
         save_model(model, f"{out}/models/{name}")
@@ -43,14 +54,15 @@ def train_job(
 
 def get_model(
     spark: SparkSession, registry: str, name: str, daily: DataFrame | None = None, candidates: Mapping[str, Mapping] | None = None
-) -> PipelineModel:
+) -> Published:
     """The published model called ``name``, else the published best one, else a
-    model trained now on ``daily``."""
+    model trained now on ``daily``; with its bounds."""
     for which in (name, "best"):
         model = load_model(spark, f"{registry}/models/{which}")
         if model is not None:
-            return model
+            return Published(which, model, read_run(spark, registry, "bounds"))
     if daily is None:
         raise FileNotFoundError(f"no model in {registry} and no history to train on")
-    wanted = candidates if candidates is not None else {name: {}}
-    return benchmark(daily, wanted).best_fit
+    run = benchmark(daily, candidates if candidates is not None else {name: {}})
+    best = run.best
+    return Published(best, run.models[best], run.bounds)
