@@ -17,8 +17,8 @@ from ..session import materialise
 #: A run of key characters; a candidate holds a digit, or a capital after a small letter.
 RUN = r"[A-Za-z0-9+/_=\-]{16,}+"
 MIXED = r"[0-9]|[a-z][A-Z]"
-#: A word with such a run, and up to two words before it.
-FOUND = rf"(?<!\S)(?:\S{{1,64}}+\s++){{0,2}}\S*?{RUN}\S*+"
+#: Characters kept of each of the two words before a candidate's word.
+BEFORE = 64
 #: Words that announce a secret, and words that announce a checksum or a number.
 KEYWORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|private|credential|auth|bearer|signature)"
 HARMLESS = r"(?i)(commit|revision|sha\d*|md5|checksum|digest|hash|etag|uuid|guid|isbn|card|phone|order|build|version)"
@@ -43,10 +43,16 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, text_key, path, finding_no, found, word, secret``: one row per candidate."""
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), F.regexp_extract_all("text", F.lit(FOUND), F.lit(0)).alias("all"))
-    d = d.select("doc_id", "text_key", "path", F.posexplode("all").alias("at", "found"))
-    d = d.withColumn("word", F.regexp_extract("found", r"(\S+)$", 1))
+    """``doc_id, text_key, path, finding_no, found, word, secret``: one row per candidate.
+
+    Every word is looked at by itself; the two words before it are read, not used up.
+    """
+    d = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), F.split("text", r"\s+").alias("words"))
+    word = lambda i: F.get("words", i)
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(RUN))
+    d = d.select("*", F.posexplode(places).alias("at", "i"))
+    i = F.col("i")
+    d = d.withColumn("word", word(i)).withColumn("found", F.concat_ws(" ", F.right(word(i - 2), F.lit(BEFORE)), F.right(word(i - 1), F.lit(BEFORE)), "word")).drop("words", "i")
     d = d.select("*", F.posexplode(F.filter(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)), lambda c: c.rlike(MIXED))).alias("part", "secret"))
     return d.withColumn("finding_no", F.struct("at", "part")).drop("at", "part")
 
