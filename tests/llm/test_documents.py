@@ -234,6 +234,36 @@ def test_candidates_do_not_hide_each_other(docs):
     assert [r.found.split() for r in got[4]][2] == PEM  # the two words before are still read
 
 
+SHORT = {
+    "password: 'hunter2secret9'": "hunter2secret9",
+    "db_password=S3cr3t!Pa55word#99": "S3cr3t!Pa55word#99",
+    'password = "k7#Vq\\E2x!"': "k7#Vq\\E2x!",
+    'pwd: "Wq8zr4Lp"': "Wq8zr4Lp",
+    "the password is Zk4vT9qLm2 and": "Zk4vT9qLm2",
+    'api_key = "hqzkwmsjdgnrpfvbxktmqhjzwsdlrgnp"': "hqzkwmsjdgnrpfvbxktmqhjzwsdlrgnp",
+    "SECRET_KEY=HQZKWMSJDGNRPFVBXKTMQHJZWSDLRGNP": "HQZKWMSJDGNRPFVBXKTMQHJZWSDLRGNP",
+    '{"n":5,"password":"Tr0ub4dor&3x"}': "Tr0ub4dor&3x",
+}
+
+
+def test_short_and_one_case_secrets(docs):
+    rows = [prose(60, i) + "." for i in range(400)]
+    for i, x in enumerate(SHORT):
+        rows[10 * i] += f" {x} {prose(3, i)}"
+    rows[200] += f" {ENV}"
+    rows[210] += " password: 'bade9bade' badE9bade bade9badex"
+    d = docs(rows)
+    found = {}
+    for r in secrets.candidates(d).collect():
+        found.setdefault(r.doc_id, set()).add(r.secret)
+    assert all(v in found[10 * i] for i, v in enumerate(SHORT.values()))
+    out = {r.doc_id: r.text for r in secrets.redact(d).collect()}
+    assert [v for i, v in enumerate(SHORT.values()) if v in out[10 * i]] == []
+    assert [v for v in re.findall(r"=(\S+)", ENV) if v in out[200]] == []
+    assert all(out[i] == rows[i] for i in range(400) if i not in {*range(0, 10 * len(SHORT), 10), 200, 210})
+    assert "'bade9bade'" not in out[210] and out[210].endswith("badE9bade bade9badex")
+
+
 def test_pipeline(docs, spark, tmp_path):
     rows = [(i, "\n".join(prose(12, 40 * i + k) + "." for k in range(9)), f"s{i % 3}") for i in range(40)]
     rows += [(100, rows[0][1], "s0"), (101, rows[1][1].replace("ba ", "ka ", 1), "s1"), (102, "too short", "s2"), rows[2]]

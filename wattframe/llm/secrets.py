@@ -14,9 +14,23 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialise
 
-#: A run of key characters; a candidate holds a digit, or a capital after a small letter.
-RUN = r"[A-Za-z0-9+/_=\-]{16,}+"
-MIXED = r"[0-9]|[a-z][A-Z]"
+#: A run of key characters, of one case or several; padding only ends it, so that it does not reach from a name to its value.
+RUN = r"[A-Za-z0-9+/_\-]{16,}+=*+"
+#: Fewest characters of a value that is assigned or announced.
+VALUE = 4
+#: Words that announce a value, at the end of a word; with what may stand between them and the value.
+ANNOUNCE = r"""(?i)(token|secret|pass(?:wor[dt]|wd|phrase|code)?|pwd|pin|api.?key|access.?key|private.?key|credentials?|bearer)s?["'`]?[=:]*>?$"""
+BETWEEN = r"""(?i)^["'`]?(=|:|:=|=>|->|==|is|was)["'`]?$"""
+ASSIGNED = r"""[=:]>?["'`]?$"""
+#: Values within a word: quoted, up to the closing quote; after a sign, up to a quote; after an announcing word, up to the end.
+QUOTED = rf"""[=:]>?(["'`])((?:(?!\1)\S){{{VALUE},}})"""
+BARE = rf"""[=:]>?(?!//)([^\s"'`=:>][^\s"'`]{{{VALUE - 1},}})"""
+OPEN = rf"""{ANNOUNCE[:-len('>?$')]}(?<=[=:])>?([^\s"'`=:>]\S{{{VALUE - 1},}})"""
+#: The same for a word of its own.
+WHOLE_QUOTED = rf"""^(["'`])((?:(?!\1)\S){{{VALUE},}})"""
+WHOLE_BARE = rf"""^([^\s"'`]\S{{{VALUE - 1},}})"""
+#: What closes a sentence or a list is not part of a value without quotes.
+CLOSING = r"""[,;.)\]}>"'`]+$"""
 #: Characters kept of each of the two words before a candidate's word.
 BEFORE = 64
 #: Words that announce a secret, and words that announce a checksum or a number.
@@ -31,7 +45,7 @@ MASK = "[secret]"
 
 FEATURES = [
     "length", "digits", "capitals", "marks", "hexadecimal", "letter_digit", "small_capital", "variety", "longest_letters", "coverage",
-    "path", "path_depth", "keyword", "harmless", "assigned", "quoted", "address",
+    "path", "path_depth", "keyword", "harmless", "assigned", "quoted", "address", "names",
 ]
 
 
@@ -45,15 +59,29 @@ def dictionary(docs: DataFrame, size: int = DICTIONARY) -> list[str]:
 def candidates(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, path, finding_no, found, word, secret``: one row per candidate.
 
+    A candidate is a run of 16 key characters or more, or a value of ``VALUE`` characters
+    or more that is assigned or announced, without the blanks that a quoted one may hold.
     Every word is looked at by itself; the two words before it are read, not used up.
     """
     d = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce("source", F.lit("")).alias("path"), F.split("text", r"\s+").alias("words"))
-    word = lambda i: F.get("words", i)
-    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: word(i).rlike(RUN))
+    word = lambda i: F.coalesce(F.get("words", i), F.lit(""))
+    # the value stands after a sign, after an announcing word, or after both
+    follows = lambda i: word(i - 1).rlike(f"{ASSIGNED}|{ANNOUNCE}") | (word(i - 1).rlike(BETWEEN) & word(i - 2).rlike(ANNOUNCE))
+    places = F.filter(
+        F.sequence(F.lit(0), F.size("words") - 1),
+        lambda i: (F.length(word(i)) >= VALUE) & (word(i).rlike(f"{RUN}|[=:]\\S{{{VALUE}}}") | follows(i)),
+    )
     d = d.select("*", F.posexplode(places).alias("at", "i"))
     i = F.col("i")
-    d = d.withColumn("word", word(i)).withColumn("found", F.concat_ws(" ", F.right(word(i - 2), F.lit(BEFORE)), F.right(word(i - 1), F.lit(BEFORE)), "word")).drop("words", "i")
-    d = d.select("*", F.posexplode(F.filter(F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1)), lambda c: c.rlike(MIXED))).alias("part", "secret"))
+    d = d.withColumn("word", word(i)).withColumn("follows", follows(i))
+    d = d.withColumn("found", F.concat_ws(" ", F.right(word(i - 2), F.lit(BEFORE)), F.right(word(i - 1), F.lit(BEFORE)), "word")).drop("words", "i")
+    every = lambda pattern, group: F.regexp_extract_all("word", F.lit(pattern), F.lit(group))
+    cut = lambda values: F.transform(values, lambda v: F.regexp_replace(v, CLOSING, ""))
+    whole = F.concat(every(WHOLE_QUOTED, 2), cut(every(WHOLE_BARE, 1)))
+    runs = F.filter(every(f"({RUN})", 1), lambda v: v.rlike("[A-Za-z0-9]"))
+    values = F.concat(every(QUOTED, 2), cut(every(BARE, 1)), cut(every(OPEN, 2)), F.when(F.col("follows"), whole).otherwise(F.array().cast("array<string>")))
+    values = F.filter(values, lambda v: F.length(v) >= VALUE)
+    d = d.select("*", F.posexplode(F.array_distinct(F.concat(runs, values))).alias("part", "secret")).drop("follows")
     return d.withColumn("finding_no", F.struct("at", "part")).drop("at", "part")
 
 
@@ -88,6 +116,7 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
         "assigned": number(lead.rlike(r"""[=:]\s*["']?$""")),
         "quoted": number(lead.rlike("""["'`]$""") & after.rlike("""^["'`]""")),
         "address": number(F.col("word").rlike(r"://|@|\.[a-z]{2,5}(/|$)")),
+        "names": number(after.rlike("^[=:]") | (c.rlike("=$") & after.rlike(r"^\S") & ~lead.rlike("""["'`]$"""))),
     }
     return found.withColumns({k: F.coalesce(v, F.lit(0.0)) for k, v in out.items()})
 
@@ -97,7 +126,8 @@ def labelled_findings(docs: DataFrame, most: int = LABELLED) -> DataFrame:
 
     A bounded sample of rows lends the words around; secrets and look-alikes (card and
     order numbers, checksums, identifiers, addresses) are drawn from the row's hash. Findings
-    labelled by hand can be used instead: any table with ``doc_id, text, source, label``.
+    labelled by hand can be used instead: any table with ``doc_id, text, source, label``, and
+    with ``secret`` if a text holds other candidates besides.
     """
     lent = F.slice(F.filter(F.slice(F.split("text", r"\W+", 13), 1, 12), lambda w: F.length(w) > 2), 1, 4).alias("w")
     some = docs.where("text IS NOT NULL").select("source", lent, F.sha2("text", 512).alias("h"), F.sha2(F.concat(F.lit("2"), "text"), 512).alias("g"))
@@ -108,27 +138,53 @@ def labelled_findings(docs: DataFrame, most: int = LABELLED) -> DataFrame:
     alnum = lambda n: F.regexp_replace(b64(n + 8), "[^A-Za-z0-9]", "")
     digits = lambda n: F.substring(F.regexp_replace(h, "[^0-9]", ""), 1, n)
     hexa = lambda n: F.substring(h, 5, n)
+    letters = F.translate(F.substring(h, 60, 40), "0123456789", "ghjkmnpqrs")
+    short = F.substring(alnum(24), F.lit(1), F.pmod(F.hash("g"), F.lit(8)) + 8)
+    marked = F.concat(F.substring(short, 1, 4), F.element_at(F.array(*map(F.lit, "!#$%&*?@")), F.pmod(F.hash("g"), F.lit(8)) + 1), F.substring(short, 5, 20), F.element_at(F.array(*map(F.lit, "#!^~")), F.pmod(F.hash("h"), F.lit(4)) + 1), digits(2))
     t = lambda *x: F.concat_ws("", *[F.lit(y) if isinstance(y, str) else y for y in x])
-    kinds: list[tuple[int, Column]] = [
-        (1, t(w(0), " ", w(1), ' token = "', hexa(40), '" ', w(2))),
-        (1, t(w(0), ' API_KEY: "', F.upper(hexa(40)), '" ', w(1))),
-        (1, t(w(0), " secret=", b64(40), " ", w(1))),
-        (1, t(w(0), " password: '", alnum(20), "' ", w(1))),
-        (1, t(w(0), " Authorization: Bearer ", b64(64), " ", w(1))),
-        (1, t(w(0), " ", w(1), " ghp_", alnum(36), " ", w(2))),
-        (1, t("aws_access_key_id = AKIA", F.upper(alnum(16)), " ", w(1))),
-        (0, t(w(0), " ", w(1), " ", digits(16), " ", w(2))),
-        (0, t("card ", digits(16), " ", w(1))),
-        (0, t(w(0), " commit ", hexa(40), " ", w(1))),
-        (0, t(w(0), " sha256: ", hexa(64), " ", w(1))),
-        (0, t(w(0), " see https://www.example.com/", w(1), "/", w(2), "-", digits(12), " ", w(3))),
-        (0, t(w(0), " ", F.initcap(w(1)), F.initcap(w(2)), F.initcap(w(3)), "Handler", digits(1), " ", w(0))),
-        (0, t(w(0), " = ", w(1), "_", w(2), "_", w(3), "_2024_final ", w(0))),
-        (0, t(w(0), ' token = "', F.repeat(F.substring(h, 1, 1), 8), '0000000000" ', w(1))),
+    none = F.lit(None).cast("string")
+    kinds: list[tuple[int, Column, Column]] = [
+        (1, v := hexa(40), t(w(0), " ", w(1), ' token = "', v, '" ', w(2))),
+        (1, v := F.upper(hexa(40)), t(w(0), ' API_KEY: "', v, '" ', w(1))),
+        (1, v := b64(40), t(w(0), " secret=", v, " ", w(1))),
+        (1, v := alnum(20), t(w(0), " password: '", v, "' ", w(1))),
+        (1, v := b64(64), t(w(0), " Authorization: Bearer ", v, " ", w(1))),
+        (1, v := F.concat(F.lit("ghp_"), alnum(36)), t(w(0), " ", w(1), " ", v, " ", w(2))),
+        (1, v := F.concat(F.lit("AKIA"), F.upper(alnum(16))), t("aws_access_key_id = ", v, " ", w(1))),
+        (1, v := b64(40), t(w(0), "\nAWS_SECRET_ACCESS_KEY=", v, "\nLOG_LEVEL=", w(1))),
+        (1, v := b64(64), t(w(0), "\n", v, "\n", w(1))),
+        (1, v := short, t(w(0), " password: '", v, "' ", w(1))),
+        (1, v := short, t(w(0), " DB_PASSWORD=", v, " ", w(1))),
+        (1, v := marked, t(w(0), " db_password=", v, " ", w(1))),
+        (1, v := marked, t(w(0), ' pwd = "', v, '" ', w(1))),
+        (1, v := short, t(w(0), " the password is ", v, " ", w(1))),
+        (1, v := F.lower(short), t(w(0), ' passwd: "', v, '" ', w(1))),
+        (1, v := F.substring(letters, 1, 32), t(w(0), ' api_key = "', v, '" ', w(1))),
+        (1, v := F.upper(F.substring(letters, 1, 32)), t(w(0), " SECRET_KEY=", v, " ", w(1))),
+        (1, v := F.substring(letters, 1, 10), t(w(0), " password=", v, " ", w(1))),
+        (0, none, t(w(0), " ", w(1), " ", digits(16), " ", w(2))),
+        (0, none, t("card ", digits(16), " ", w(1))),
+        (0, none, t(w(0), " commit ", hexa(40), " ", w(1))),
+        (0, none, t(w(0), " sha256: ", hexa(64), " ", w(1))),
+        (0, none, t(w(0), " see https://www.example.com/", w(1), "/", w(2), "-", digits(12), " ", w(3))),
+        (0, none, t(w(0), " ", F.initcap(w(1)), F.initcap(w(2)), F.initcap(w(3)), "Handler", digits(1), " ", w(0))),
+        (0, none, t(w(0), " = ", w(1), "_", w(2), "_", w(3), "_2024_final ", w(0))),
+        (0, none, t(w(0), ' token = "', F.repeat(F.substring(h, 1, 1), 8), '0000000000" ', w(1))),
+        (0, none, t(w(0), ": ", w(1), "tion ", w(2), ": ", w(3), "ness")),
+        (0, none, t(w(0), ' = "', w(1), w(2), '" ', w(3))),
+        (0, none, t(w(0), " at ", digits(2), ":", F.substring(h, 8, 2), ":30:00 ", w(1), ":2024-01-", digits(2))),
+        (0, none, t("the secret ", w(0), "ing of ", w(1), " token ", w(2), "ment and password ", w(3), "tion")),
+        (0, none, t(w(0), " ", w(1), w(2), w(3), w(0), "ation ", w(1), "-", w(2), "-", w(3), "-like ", w(0))),
+        (0, none, t(w(0), " ", F.upper(w(1)), "_", F.upper(w(2)), "_CONNECTION_LIMIT=", w(3), "ing")),
+        (0, none, t(w(0), " phone: ", digits(10), " order=", digits(8), " ", w(1))),
+        (0, none, t("contact: ", w(0), "@", w(1), ".com, see: ", w(2), ".html")),
     ]
+    # two kinds for a row, so that a small table has each of them
     kind = F.pmod(F.hash("h"), F.lit(len(kinds)))
-    pick = F.element_at(F.array(*[F.struct(F.lit(y).alias("label"), x.alias("text")) for y, x in kinds]), (kind + 1).cast("int"))
-    return some.select(pick.alias("p"), "source", F.hash("h").cast("bigint").alias("doc_id")).select("doc_id", "p.text", "source", F.col("p.label").cast("double").alias("label"))
+    both = F.explode(F.array(kind, F.pmod(kind + len(kinds) // 2, F.lit(len(kinds)))))
+    some = some.select("*", both.alias("kind")).orderBy("h", "source", "kind").limit(most)
+    pick = F.element_at(F.array(*[F.struct(F.lit(y).alias("label"), v.alias("secret"), x.alias("text")) for y, v, x in kinds]), (F.col("kind") + 1).cast("int"))
+    return some.select(pick.alias("p"), "source", F.hash("h").cast("bigint").alias("doc_id")).select("doc_id", "p.text", "source", F.col("p.label").cast("double").alias("label"), "p.secret")
 
 
 def assemble(df: DataFrame) -> DataFrame:
@@ -136,9 +192,12 @@ def assemble(df: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH, seed: int = 11) -> RandomForestClassificationModel:
-    """Fit on labelled findings; a label goes to every candidate of its text."""
-    texts = labelled.select(F.xxhash64("text").alias("text_key"), "label").dropDuplicates(["text_key"])
-    found = features(candidates(labelled), words).join(texts, "text_key").select(*FEATURES, "label")
+    """Fit on labelled findings; a label goes to every candidate of its text, or, if the secret is named, to those that share it."""
+    known = (F.col("secret") if "secret" in labelled.columns else F.lit(None).cast("string")).alias("_known")
+    texts = labelled.select(F.xxhash64("text").alias("text_key"), F.col("label").alias("_label"), known).dropDuplicates(["text_key"])
+    found = features(candidates(labelled), words).join(texts, "text_key")
+    same = F.col("secret").contains(F.col("_known")) | F.col("_known").contains(F.col("secret"))
+    found = found.withColumn("label", F.when(F.coalesce(same, F.lit(True)), F.col("_label")).otherwise(0.0)).select(*FEATURES, "label")
     found = materialise(found.coalesce(4), "labelled-features")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird").fit(assemble(found))
 
@@ -173,7 +232,10 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     s = scan(docs).where("is_secret").groupBy("text_key").agg(F.collect_set("secret").alias("_found"))
     s = s.select(F.col("text_key").alias("_key"), F.array_sort("_found", lambda a, b: F.length(b) - F.length(a)).alias("_found"))
     d = docs.withColumn("_key", F.xxhash64("text")).join(s, "_key", "left")
-    clean = F.aggregate("_found", F.col("text"), lambda text, x: F.replace(text, x, F.lit(mask)))
+    # a short value may be part of other words: there it stays
+    alone = lambda x: F.concat(F.lit(r"(?<![A-Za-z0-9])\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9])"))
+    gone = lambda text, x: F.when(F.length(x) < 16, F.regexp_replace(text, alone(x), F.lit(mask))).otherwise(F.replace(text, x, F.lit(mask)))
+    clean = F.aggregate("_found", F.col("text"), gone)
     d = d.withColumn("text", F.when(F.col("_found").isNull(), F.col("text")).otherwise(clean))
     return d.select(*docs.columns)
 
