@@ -181,6 +181,20 @@ def test_packing(docs, edges):
         assert whole == want and all(zlib.crc32(r.ids) == r.ids_crc32 for r in stream)
 
 
+def test_packing_special_tokens(docs, spark, tmp_path):
+    coder = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    texts = ["hello <|endoftext|> there", "a<|startoftext|>b", "<|endoftext|>", "<|startoftext|> ⁣ x<|endoftext|>\n<|endoftext|><|endoftext|> y", "<|EndOfText|> < |endoftext| >"]
+    d = docs(texts)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+    want = [[*coder.encode(t, add_special_tokens=False).ids, packing.END] for t in texts]
+    assert want[0] == [3306, 49407, 997, packing.END]
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in packing.pack(d, special=True).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+    for pieces in (packing.op6_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, d, str(tmp_path))):
+        got = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in pieces.collect()}
+        assert [got[i] for i in range(len(texts))] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+
+
 def test_mix_on_edges(edges):
     rows = mixing.mix(edges).collect()
     assert len(rows) == edges.count() and all(0 <= r.taken <= 2 * r["size"] and r.target <= 2 * r.source_size for r in rows)

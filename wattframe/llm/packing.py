@@ -34,14 +34,16 @@ class WordTokens:
 
     The tokenizer never joins across white space, so a text's ids are those of its
     words in order. New words are encoded together, with a mark between them.
+    With ``special``, special tokens that a text spells out have their own ids, as the
+    tokenizer file says; without, they are plain characters.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.known: dict[str, bytes] = {}
         (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
@@ -71,7 +73,7 @@ class WordTokens:
         return b"".join([known[w] for w in words])
 
 
-def tokenise(docs: DataFrame, path: str) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, special: bool = False) -> DataFrame:
     """``doc_id, part, start, tokens, ids``: ``start`` counts the tokens before it in its task."""
 
     def run(batch, state={}):  # noqa: B006  one state per task's worker process
@@ -80,9 +82,9 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
         if state.get("key") != key:
             state |= {"key": key, "at": 0}
         coder = state.get("coder")
-        if coder is None or state["path"] != path:
-            coder = state["coder"] = WordTokens(path)
-            state["path"] = path
+        if coder is None or state["path"] != (path, special):
+            coder = state["coder"] = WordTokens(path, special)
+            state["path"] = (path, special)
         end = np.array([END], dtype="<u4").tobytes()
         out: dict[str, list] = {"doc_id": [], "part": [], "start": [], "tokens": [], "ids": []}
         held = 0
@@ -102,17 +104,19 @@ def tokenise(docs: DataFrame, path: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id BIGINT, part INT, start BIGINT, tokens BIGINT, ids BINARY")
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, ids: bool = True, special: bool = False) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, its ``ids``.
 
     Every sequence but the last holds ``window`` tokens, so only the last is padded.
     A document that crosses a border gives one piece on each side.
 
     * A null or empty text gives the end id alone.
+    * Special tokens spelled out in a text are plain characters unless ``special`` is set;
+      the queries set it, so their ids are those of the tokenizer file as it is.
     * A null ``doc_id`` and repeated rows are ordinary documents.
     * An empty table gives no pieces. Other columns are not read.
     """
-    t = materialise(tokenise(docs, path or public_tokenizers.path(TOKENIZER)), "tokens")
+    t = materialise(tokenise(docs, path or public_tokenizers.path(TOKENIZER), special), "tokens")
     # one row per task that wrote tokens
     totals = t.groupBy("part").agg(F.sum("tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -145,4 +149,4 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, ids: bo
 
 
 def op6_packing(spark, sf_dir):
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False)
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), ids=False, special=True)
