@@ -8,6 +8,7 @@ stream, and the stream is cut every ``window`` tokens.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -22,55 +23,81 @@ TOKENIZER = "word_bpe_49k.json"
 END = 2
 WINDOW = 4096
 #: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 #: Bytes of ids in one row of output batches.
 _CHUNK = 4 << 20
-#: A mark that stands alone between words and has one id of its own.
-_MARK = "⁣"
+#: Words of Latin letters, digits and ASCII signs (no apostrophe), and what the tokenizer splits them into.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 class WordTokens:
     """Ids of texts, by way of their blank-separated words.
 
     The tokenizer never joins across white space, so a text's ids are those of its
-    words in order. New words are encoded together, with a mark between them.
+    words in order. Its normaliser changes plain words in case only, and its splitting
+    rule cuts them where letters, single digits and other characters meet; so their
+    pieces go to the vocabulary's model directly, many at once, and an id that closes
+    a piece shows where it ends. Other words take the whole tokenizer.
     With ``special``, special tokens that a text spells out have their own ids, as the
     tokenizer file says; without, they are plain characters.
     """
 
     def __init__(self, path: str, special: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.known: dict[str, bytes] = {}
-        (self.mark,) = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
 
     def _one(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 5000):
-            some = words[k : k + 5000]
-            ids = np.array(self.tokenizer.encode(f" {_MARK} ".join(some), add_special_tokens=False).ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.mark)
-            if len(cut) != len(some) - 1:  # a word holds the mark itself
-                self.known.update((w, self._one(w)) for w in some)
-                continue
-            raw, starts, ends = ids.tobytes(), np.r_[0, cut + 1] * 4, np.r_[cut, len(ids)] * 4
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, starts.tolist(), ends.tolist(), strict=True))
+        plain, pieces, ends = [], [], []
+        for w in words:
+            if _PLAIN.fullmatch(w) and "<|" not in w:
+                plain.append(w)
+                pieces += _PIECE.findall(w.lower())
+                ends.append(len(pieces))
+            else:
+                self.known[w] = self._one(w)
+        if plain:
+            ids = np.array(self.model.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
+            after = (np.flatnonzero(self.closes[ids]) + 1) * 4
+            raw, stops = ids.tobytes(), after[np.array(ends) - 1].tolist()
+            self.known.update((w, raw[a:b]) for w, a, b in zip(plain, [0, *stops], stops, strict=False))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         words = text.replace("\n", " ").split(" ")
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            self.learn(new)
-        return b"".join([known[w] for w in words])
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            if len(known) > REMEMBERED:
+                known.clear()
+            new = [w for w in dict.fromkeys(words) if w not in known]
+            for k in range(0, len(new), 5000):
+                self.learn(new[k : k + 5000])
+        return b"".join(map(known.__getitem__, words))
+
+
+#: The coder of this worker process and what it was made for; tasks that follow find its words.
+_CODER: dict[tuple[str, bool], WordTokens] = {}
+
+
+def coder(path: str, special: bool) -> WordTokens:
+    if (path, special) not in _CODER:
+        _CODER.clear()
+        _CODER[path, special] = WordTokens(path, special)
+    return _CODER[path, special]
 
 
 def tokenise(docs: DataFrame, path: str, special: bool = False) -> DataFrame:
@@ -81,15 +108,12 @@ def tokenise(docs: DataFrame, path: str, special: bool = False) -> DataFrame:
         key = (TaskContext.get().stageId(), TaskContext.get().taskAttemptId())
         if state.get("key") != key:
             state |= {"key": key, "at": 0}
-        coder = state.get("coder")
-        if coder is None or state["path"] != (path, special):
-            coder = state["coder"] = WordTokens(path, special)
-            state["path"] = (path, special)
+        encode = coder(path, special).encode
         end = np.array([END], dtype="<u4").tobytes()
         out: dict[str, list] = {"doc_id": [], "part": [], "start": [], "tokens": [], "ids": []}
         held = 0
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            ids = coder.encode(text or "") + end
+            ids = encode(text or "") + end
             n = len(ids) // 4
             for k, v in (("doc_id", doc_id), ("part", task), ("start", state["at"]), ("tokens", n), ("ids", np.frombuffer(ids, "<u4").astype("<u2").tobytes())):
                 out[k].append(v)
