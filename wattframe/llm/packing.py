@@ -100,8 +100,8 @@ def coder(path: str, special: bool) -> WordTokens:
     return _CODER[path, special]
 
 
-def tokenise(docs: DataFrame, path: str, special: bool = False) -> DataFrame:
-    """``doc_id, part, start, tokens, ids``: ``start`` counts the tokens before it in its task."""
+def tokenise(docs: DataFrame, path: str, special: bool = False, end_id: int = END) -> DataFrame:
+    """``doc_id, part, start, tokens, ids``: ``start`` counts the tokens before it in its task; ``end_id`` closes each document."""
 
     def run(batch, state={}):  # noqa: B006  one state per task's worker process
         task = TaskContext.get().partitionId()
@@ -109,7 +109,7 @@ def tokenise(docs: DataFrame, path: str, special: bool = False) -> DataFrame:
         if state.get("key") != key:
             state |= {"key": key, "at": 0}
         encode = coder(path, special).encode
-        end = np.array([END], dtype="<u4").tobytes()
+        end = np.array([end_id], dtype="<u4").tobytes()
         out: dict[str, list] = {"doc_id": [], "part": [], "start": [], "tokens": [], "ids": []}
         held = 0
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by name."""
 
-from . import jaccard, mixing, packing, quality, secrets, sharding, substring, suffixarray, topk, warc
+from . import bestfit, jaccard, mixing, packing, quality, secrets, sharding, substring, suffixarray, topk, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_suffix_array": suffixarray.op8_suffix_array,
     "op9_secrets": secrets.op9_secrets,
     "op10_topk": topk.op10_topk,
+    "op12_best_fit": bestfit.op12_best_fit,
 }
 SQL = {"op1_quality_rules": quality.SQL, "op4_warc": warc.SQL, "op7_mixing": mixing.SQL, "op10_topk": topk.SQL}
