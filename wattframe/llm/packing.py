@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -22,8 +23,8 @@ from .common import map_batches
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 WINDOW = 4096
-#: Words whose ids a task remembers; the memory is emptied when it is full.
-REMEMBERED = 700_000
+#: Words, and pieces of words, whose ids a worker remembers; each memory is emptied when it is full.
+REMEMBERED = 500_000
 #: Bytes of ids in one row of output batches.
 _CHUNK = 4 << 20
 #: Words of Latin letters, digits and ASCII signs (no apostrophe), and what the tokenizer splits them into.
@@ -37,8 +38,8 @@ class WordTokens:
     The tokenizer never joins across white space, so a text's ids are those of its
     words in order. Its normaliser changes plain words in case only, and its splitting
     rule cuts them where letters, single digits and other characters meet; so their
-    pieces go to the vocabulary's model directly, many at once, and an id that closes
-    a piece shows where it ends. Other words take the whole tokenizer.
+    pieces go to the vocabulary's model directly, many at once and each once, and an id
+    that closes a piece shows where it ends. Other words take the whole tokenizer.
     With ``special``, special tokens that a text spells out have their own ids, as the
     tokenizer file says; without, they are plain characters.
     """
@@ -50,6 +51,7 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
@@ -60,19 +62,22 @@ class WordTokens:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        plain, pieces, ends = [], [], []
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        plain: dict[str, list[str]] = {}
         for w in words:
             if _PLAIN.fullmatch(w) and "<|" not in w:
-                plain.append(w)
-                pieces += _PIECE.findall(w.lower())
-                ends.append(len(pieces))
+                plain[w] = _PIECE.findall(w.lower())
             else:
                 self.known[w] = self._one(w)
-        if plain:
-            ids = np.array(self.model.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
-            after = (np.flatnonzero(self.closes[ids]) + 1) * 4
-            raw, stops = ids.tobytes(), after[np.array(ends) - 1].tolist()
-            self.known.update((w, raw[a:b]) for w, a, b in zip(plain, [0, *stops], stops, strict=False))
+        parts = self.parts
+        new = [p for p in dict.fromkeys(chain.from_iterable(plain.values())) if p not in parts]
+        if new:
+            (found,) = self.model.encode_batch_fast([" ".join(new)], add_special_tokens=False)
+            ids = np.array(found.ids, dtype="<u4")
+            raw, ends = ids.tobytes(), ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            parts.update((p, raw[a:b]) for p, a, b in zip(new, [0, *ends[:-1]], ends, strict=True))
+        self.known.update((w, b"".join([parts[p] for p in ps])) for w, ps in plain.items())
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit numbers."""
