@@ -17,6 +17,15 @@ def dedup_stream(readings: DataFrame, keys: list[str] = [METER, TS], time: str =
     return with_event_time(readings, time, delay).dropDuplicatesWithinWatermark(keys)
 
 
+def keep_first_stream(readings: DataFrame, tie: str, keys: list[str] = [METER, TS], time: str = TS, delay: str = "1 day") -> DataFrame:
+    """One reading per key: of the copies that arrive in time, the one with the lowest
+    ``tie``, whatever the order they arrive in. ``keys`` must hold the time; a key is
+    given out, once, when the watermark has passed it, and its memory ends."""
+    rest = [c for c in readings.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), tie).alias("_first")
+    return with_event_time(readings, time, delay).groupBy(*keys).agg(first).select(*keys, "_first.*")
+
+
 def daily_stream(
     readings: DataFrame,
     y: str = "active_power_kw",

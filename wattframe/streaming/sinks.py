@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.baselines import history_buffer
+from ..operators.cleaning import dedup_first
 from ..operators.features import engineer_features
-from ..schema import DAY, KWH, METER
+from ..schema import DAY, KWH, METER, TS
 from ..session import scratch_path
 
 
@@ -44,6 +45,37 @@ def latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys).agg(*[F.max_by(c, "batch").alias(c) for c in values])
 
 
+@dataclass
+class RollupSink:
+    """Daily energy, kept up to date file by file.
+
+    The stream's checkpoint is the list of files already read, so a batch holds new files
+    only. Its readings go to ``readings``, by day and batch; the days they touch, and no
+    others, are read back, cleared of copies and written over in ``daily``. A batch that
+    runs twice overwrites its own folders, and a run without new files does nothing.
+    """
+
+    path: str
+    tie: str
+    y: str = "active_power_kw"
+    readings_per_hour: int = 60
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        new = batch.select(METER, TS, self.tie, self.y, F.to_date(TS).alias(DAY), F.lit(batch_id).alias("batch"))
+        self._write(new.where(F.col(TS).isNotNull()), "readings", DAY, "batch")
+        kept = spark.read.parquet(f"{self.path}/readings")
+        touched = kept.where(F.col("batch") == batch_id).select(DAY).distinct()
+        # a day read back is one that the batch brought: the others' folders are pruned
+        again = dedup_first(kept.join(F.broadcast(touched), DAY, "left_semi"), [METER, TS], self.tie)  # one row per day
+        daily = again.groupBy(METER, DAY).agg((F.sum(self.y) / float(self.readings_per_hour)).alias(KWH), F.count(self.y).alias("readings"))
+        self._write(daily.withColumn("batch", F.lit(batch_id)), "daily", DAY)
+
+    def _write(self, df: DataFrame, name: str, *by: str) -> None:
+        out = df.hint("rebalance", *[F.col(c) for c in by]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(*by).parquet(f"{self.path}/{name}")
+
+
 @dataclass
 class FeatureSink:
     """Feature rows (and predictions) for days as they close.
