@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.calendar import hour_label, is_weekend
+from ..functions.calendar import day_type, hour_label, is_weekend
 from ..functions.text import hour_of_text
 from ..operators import features as f
 from ..operators import reports as r
-from ..operators.savings import savings
+from ..operators import sketches as sk
+from ..operators.savings import savings, savings_for
+from ..session import scratch_path
 from . import standins as s
-from .base import query
+from .base import query, table
 
 _W = "OVER (PARTITION BY meter_id ORDER BY day)"
 
@@ -306,3 +308,57 @@ SELECT *, saved_kwh * CAST(tariff AS DOUBLE) AS saved_money, saved_kwh * CAST(co
 )
 def savings_scenarios(spark, sf_dir):
     return savings(s.daily(spark, sf_dir), SCENARIOS)
+
+
+@query(
+    "meter_id, tariff:2, pct:1, co2_factor:2, annual_kwh:4, saved_kwh:4, saved_money:4, saved_co2_kg:4, trees:i",
+    f"""WITH {s.SQL_DAILY}, m AS (SELECT meter_id, avg(kwh) * 365.0 AS annual_kwh FROM daily GROUP BY 1),
+t AS (SELECT DISTINCT 0.1 + n_nationkey / 100.0 AS tariff, 5.0 + n_regionkey AS pct, 0.2 + n_regionkey / 10.0 AS co2_factor FROM nation),
+x AS (SELECT *, annual_kwh * (pct / 100.0) AS saved_kwh FROM m, t)
+SELECT *, saved_kwh * tariff AS saved_money, saved_kwh * co2_factor AS saved_co2_kg, floor(saved_kwh * co2_factor / 21.7) AS trees FROM x""",
+)
+def savings_table(spark, sf_dir):
+    """Every meter under the scenarios of a table: one tariff per nation, one target per region."""
+    scenarios = table(spark, sf_dir, "nation").select(
+        (0.1 + F.col("n_nationkey") / 100.0).alias("tariff"), (5.0 + F.col("n_regionkey")).alias("pct"), (0.2 + F.col("n_regionkey") / 10.0).alias("co2_factor")
+    )
+    return savings_for(s.daily(spark, sf_dir), scenarios)
+
+
+_SQL_VALUES = f"""{s.SQL_READINGS}, v AS (
+  SELECT meter_id, CAST(date_trunc('month', ts) AS DATE) AS month, CAST(ts AS DATE) AS day, active_power_kw AS kw FROM readings WHERE active_power_kw IS NOT NULL),
+typed AS (SELECT *, {_DAY_TYPE} AS day_type FROM v)"""
+
+
+@query(
+    "scope, part, n:i, min:6, max:6, q1_within:i, median_within:i, q3_within:i",
+    f"""WITH {_SQL_VALUES}
+SELECT meter_id AS scope, strftime(month, '%Y-%m') AS part, count(*) AS n, min(kw) AS min, max(kw) AS max, 1 AS q1_within, 1 AS median_within, 1 AS q3_within
+FROM typed GROUP BY 1, 2
+UNION ALL SELECT 'all meters', day_type, count(*), min(kw), max(kw), 1, 1, 1 FROM typed GROUP BY 1, 2""",
+)
+def reading_boxes(spark, sf_dir):
+    """Quartiles of raw readings from stored sketches, each set against the exact rank of the value it gives."""
+    r = s.readings(spark, sf_dir)
+    path = scratch_path(spark, "sketches")
+    sk.write_sketches(sk.quantile_sketches(r, "active_power_kw"), path)
+    stored = sk.read_sketches(spark, path)
+    month = F.date_format("month", "yyyy-MM")
+    by_month = sk.box_from_sketches(stored.select(F.col("meter_id").alias("scope"), month.alias("part"), "n", "min", "max", "sketch"), ["scope", "part"])
+    by_type = sk.box_from_sketches(stored.select(F.lit("all meters").alias("scope"), F.col("day_type").alias("part"), "n", "min", "max", "sketch"), ["scope", "part"])
+    boxes = by_month.unionByName(by_type)
+    kw = F.col("active_power_kw")
+    known = r.where(kw.isNotNull())
+    groups = F.array(
+        F.struct(F.col("meter_id").alias("scope"), F.date_format("ts", "yyyy-MM").alias("part")),
+        F.struct(F.lit("all meters").alias("scope"), day_type(F.to_date("ts")).alias("part")),
+    )
+    each = known.select(kw.alias("kw"), F.explode(groups).alias("g")).select("kw", "g.*").join(boxes, ["scope", "part"])
+    asked = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    ranks = each.groupBy("scope", "part").agg(
+        F.first("n").alias("n"), F.first("min").alias("min"), F.first("max").alias("max"),
+        *[F.count_if(F.col("kw") < F.col(q)).alias(f"{q}_below") for q in asked],
+        *[F.count_if(F.col("kw") <= F.col(q)).alias(f"{q}_to") for q in asked],
+    )
+    e = sk.RANK_ERROR
+    return ranks.withColumns({f"{q}_within": (F.col(f"{q}_below") / F.col("n") <= p + e) & (F.col(f"{q}_to") / F.col("n") >= p - e) for q, p in asked.items()})

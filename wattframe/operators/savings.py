@@ -32,10 +32,10 @@ def savings(
 def price(means: DataFrame, scenarios, key=[METER]) -> DataFrame:
     listed = F.array(
         *[
-            F.struct(F.lit(float(t)).alias("tariff"), F.lit(float(p)).alias("pct"), F.lit(float(c)).alias("co2_factor"))
-            for t, p, c in scenarios
+            F.struct(*[F.lit(v).cast("double").alias(n) for n, v in zip(("tariff", "pct", "co2_factor"), scenario, strict=True)])
+            for scenario in scenarios
         ]
-    )
+    ).cast("array<struct<tariff:double,pct:double,co2_factor:double>>")
     d = means.withColumn("_s", F.explode(listed)).select(*key, "mean_kwh", "_s.*")
     annual = F.col("mean_kwh") * 365.0
     d = d.withColumn("annual_kwh", annual).withColumn("saved_kwh", F.col("annual_kwh") * (F.col("pct") / 100.0))
@@ -43,3 +43,22 @@ def price(means: DataFrame, scenarios, key=[METER]) -> DataFrame:
         {"saved_money": F.col("saved_kwh") * F.col("tariff"), "saved_co2_kg": F.col("saved_kwh") * F.col("co2_factor")}
     )
     return d.withColumn("trees", F.floor(F.col("saved_co2_kg") / CO2_PER_TREE))
+
+
+#: Rows that a scenario table may have.
+MOST_SCENARIOS = 1_000
+
+
+def savings_for(daily: DataFrame, scenarios: DataFrame, most: int = MOST_SCENARIOS, key=[METER], y=KWH) -> DataFrame:
+    """``savings`` for the rows ``tariff, pct, co2_factor`` of a table of at most ``most`` rows.
+
+    Each mean is repeated once per scenario, so a larger table is an error and not a
+    result of that many times the meters. Equal scenarios count once; a scenario with a
+    null gives null figures.
+    """
+    columns = ["tariff", "pct", "co2_factor"]
+    rows = scenarios.select(*[F.col(c).cast("double") for c in columns]).distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} scenarios")
+    means = daily.groupBy(*key).agg(F.avg(y).alias("mean_kwh"))
+    return means.transform(price, sorted(rows, key=str), key)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators.metrics import round_metrics
 from ..operators.outlook import forecast_summary
 from ..schema import FEATURES
+from ..sources.registry import Version, commit, current, new_version
 from ..sources.tables import load_model, read_run, save_model, write_forecast, write_run
 from .forecast import forecast
 from .models import Benchmark, benchmark
@@ -66,3 +67,18 @@ def get_model(
     run = benchmark(daily, candidates if candidates is not None else {name: {}})
     best = run.best
     return Published(best, run.models[best], run.bounds)
+
+
+def publish(daily: DataFrame, registry: str, **options) -> Version:
+    """``train_job`` into a new version of the registry, which becomes the current one when all is written."""
+    version = new_version(registry)
+    train_job(daily, version, **options)
+    return commit(daily.sparkSession, registry, version)
+
+
+def published(spark: SparkSession, registry: str, name: str = "best", version: Version | None = None) -> Published:
+    """A model of the current (or the given) version, with the bounds of the same run."""
+    found = version or current(spark, registry)
+    if found is None:
+        raise FileNotFoundError(f"nothing is published in {registry}")
+    return get_model(spark, found.path, name)
