@@ -177,11 +177,21 @@ def longer(keys: np.ndarray, s: np.ndarray, phrases: np.ndarray) -> tuple[np.nda
     index = Index(s, len(keys) + 1, width, back=False)
     of, word, n = index.extensions(index.forth, *index.find(local))
     grown = np.concatenate([local[of], word[:, None]], 1)
-    tails, known = (np.unique(np.concatenate([grown[:, 1:], local]), axis=0, return_inverse=True)[1].ravel() if len(grown) else np.zeros(0, int)), len(grown)
-    good = np.isin(tails[:known], tails[known:])
+    good = np.isin(*_codes(grown[:, 1:], local, len(keys) + 1))
     return keys[grown[good] - 1], n[good]
 
 
+def _codes(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each line of both, equal where the lines are."""
+    both = np.concatenate([a, b])
+    code = both[:, 0].astype(np.int64)
+    for k in range(1, both.shape[1]):
+        if k > 1:
+            code = np.unique(code, return_inverse=True)[1]
+        code = code * size + both[:, k]
+    return code[: len(a)], code[len(a) :]
+
+
 def _rows(phrases: np.ndarray, n: np.ndarray, schema: pa.Schema, shard: int | None = None):
     for k in range(0, len(n), _ROWS):
         some = slice(k, k + _ROWS)
