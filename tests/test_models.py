@@ -4,7 +4,7 @@ import pytest
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from wattframe.operators.outlook import forecast_distance, scaled
+from wattframe.operators.outlook import with_fallback, forecast_distance, scaled
 from wattframe.plans import forecast as fc
 from wattframe.plans import models as mod
 from wattframe.plans.jobs import get_model, train_job
@@ -157,3 +157,33 @@ def test_scenarios_share_the_bounds_of_their_meter(spark, series):
     cases = d.selectExpr("*", "explode(array('low', 'high')) AS scenario").selectExpr("meter_id", "scenario", "day", "kwh * if(scenario = 'low', 0.9, 1.1) AS kwh")
     out = fc.forecast(run.best_fit, cases, 2, run.bounds, "linear", key=["meter_id", "scenario"]).collect()
     assert sorted((r["scenario"], r["step"]) for r in out) == [("high", 1), ("high", 2), ("low", 1), ("low", 2)]
+
+
+def test_every_meter_has_its_own_look_back(spark, series):
+    """Meters of 40 and of 400 days: ragged windows, one model for each length, one rollout."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = {"short": rng.uniform(5, 9, 40).tolist(), "long": rng.uniform(50, 90, 400).tolist(), "flat": [4.0] * 40, "tiny": [1.0, 2.0, 3.0]}
+    d = series(values)
+    frame = fc.lookback_frame(d, 30)
+    size = {(r.meter_id, r.lookback, r.n) for r in frame.select("meter_id", "lookback", F.size("inputs").alias("n")).distinct().collect()}
+    assert size == {("short", 7, 7), ("flat", 7, 7), ("long", 30, 30)}
+    frame = fc.lookback_frame(d, 30, features=fc.window_mean)
+    fitted = fc.fit_lookbacks(frame, mod.CANDIDATES["linear"](regParam=0.0, solver="normal"))
+    assert sorted(fitted.models) == [7, 30]
+    got = fc.forecast_lookbacks(fitted, d, 6, features=fc.window_mean)
+    v, n = np.array(values["long"]), 320
+    lo, hi = v[:n].min(), v[:n].max()
+    z = (v - lo) / (hi - lo)
+    x = np.array([z[i - 30 : i].mean() for i in range(30, n)])
+    b, a = np.polyfit(x, z[30:n], 1)
+    buf = z[-30:].tolist()
+    for _ in range(6):
+        buf.append(a + b * np.mean(buf[-30:]))
+    want = [round(max(0.0, y * (hi - lo) + lo), 2) for y in buf[30:]]
+    rows = {m: [r.forecast_kwh for r in got.where(f"meter_id = '{m}'").orderBy("step").collect()] for m in values}
+    assert rows["long"] == pytest.approx(want, abs=0.02) and len(rows["short"]) == len(rows["flat"]) == 6 and rows["tiny"] == []
+    summary = {r.meter_id: r for r in with_fallback(got, d, 6).collect()}
+    assert {m: r.kind for m, r in summary.items()} == {"short": "model", "long": "model", "flat": "model", "tiny": "history"}
+    assert summary["tiny"].expected_avg_kwh == 2.0 and summary["tiny"].total_expected_kwh == 12.0 and summary["tiny"].max_forecast_date is None

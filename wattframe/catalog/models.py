@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.outlook import scaled
+from ..operators.outlook import scaled, with_fallback
 from ..plans import forecast as fc
 from ..plans import models as mod
-from ..plans.jobs import get_model, train_job
+from ..plans.jobs import get_model, publish, published, train_job
 from ..session import materialise, scratch_path
+from ..sources.registry import new_version, versions
 from . import standins as s
 from .base import query
 from .features import _SQL_LAGS
@@ -215,3 +216,73 @@ def sequence_line_forecast(spark, sf_dir):
     frame, bounds = fc.sequence_frame(d, 2)
     line = fc.fit_sequence(frame, mod.CANDIDATES["linear"](**LINE["linear"]))
     return fc.forecast_sequence(line, d, bounds, 2, 30)
+
+
+# Meters of some 30 days beside meters of years; the windows of both are read by their mean, so that
+# the line of each look-back has a closed form.
+
+
+def _long_and_short(spark, sf_dir):
+    short = s.weather(spark, sf_dir).select(F.concat(F.lit("user "), "meter_id").alias("meter_id"), "day", "kwh")
+    return s.daily(spark, sf_dir).select("meter_id", "day", "kwh").unionByName(short)
+
+
+_SQL_LOOKBACK = f"""{s.SQL_DAILY}, {s.SQL_WEATHER},
+mixed AS (SELECT meter_id, day, kwh FROM daily UNION ALL SELECT 'user ' || meter_id, day, kwh FROM weather),
+n AS (
+  SELECT *, row_number() {_W} AS i, count(*) OVER (PARTITION BY meter_id) AS n, list(kwh) OVER (PARTITION BY meter_id ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sofar
+  FROM mixed),
+sized AS (SELECT *, CAST(CASE WHEN 30 >= n * 0.4 THEN greatest(7, floor(n * 0.15)) ELSE 30 END AS BIGINT) AS lb FROM n),
+bounds AS (SELECT meter_id, min(kwh) AS lo, max(kwh) AS hi, if(max(kwh) = min(kwh), 1.0, max(kwh) - min(kwh)) AS width FROM sized WHERE i <= floor(n * 0.8) GROUP BY 1),
+x AS (
+  SELECT meter_id, lb, (kwh - lo) / width AS z, (list_avg(sofar[i - lb : i - 1]) - lo) / width AS x FROM sized JOIN bounds USING (meter_id)
+  WHERE i > lb AND i <= floor(n * 0.8)),
+line AS (SELECT lb, regr_slope(z, x) AS b, regr_intercept(z, x) AS a FROM x GROUP BY lb),
+roll AS (
+  SELECT meter_id, lb, day AS last_day, 0 AS step, lo, width, a, b, list_transform(sofar[n - lb + 1 : n], lambda v: (v - lo) / width) AS buf, 0.0::DOUBLE AS v
+  FROM sized JOIN bounds USING (meter_id) JOIN line USING (lb) WHERE i = n AND meter_id IN (SELECT meter_id FROM x)
+  UNION ALL
+  SELECT meter_id, lb, last_day, step + 1, lo, width, a, b, list_append(buf[2:], a + b * list_avg(buf)), a + b * list_avg(buf) FROM roll WHERE step < 14),
+ahead AS (SELECT meter_id, lb, step, CAST(last_day + CAST(step AS INTEGER) AS DATE) AS day, round(greatest(0.0, v * width + lo), 2) AS forecast_kwh FROM roll WHERE step > 0)"""
+
+
+def _lookback_forecast(spark, sf_dir):
+    d = materialise(_long_and_short(spark, sf_dir), "long-and-short")
+    fitted = fc.fit_lookbacks(fc.lookback_frame(d, 30, features=fc.window_mean), mod.CANDIDATES["linear"](**LINE["linear"]))
+    return d, fitted, fc.forecast_lookbacks(fitted, d, 14, features=fc.window_mean)
+
+
+@query("meter_id, lookback:i, step:i, day:d, forecast_kwh:2", f"WITH RECURSIVE {_SQL_LOOKBACK} SELECT *, lb AS lookback FROM ahead")
+def lookback_forecast(spark, sf_dir):
+    """Meters of a month and of years in one rollout, each with its own look-back and the model for it."""
+    _, fitted, ahead = _lookback_forecast(spark, sf_dir)
+    return ahead.join(fitted.meters, "meter_id")
+
+
+@query(
+    "meter_id, kind, horizon_days:i, expected_avg_kwh:2, total_expected_kwh:2, max_forecast_kwh:2, min_forecast_kwh:2",
+    f"""WITH RECURSIVE {_SQL_LOOKBACK}
+SELECT meter_id, 'model' AS kind, count(*) AS horizon_days, avg(forecast_kwh) AS expected_avg_kwh, sum(forecast_kwh) AS total_expected_kwh,
+  max(forecast_kwh) AS max_forecast_kwh, min(forecast_kwh) AS min_forecast_kwh FROM ahead GROUP BY 1
+UNION ALL
+SELECT meter_id, 'history', 14, avg(kwh), avg(kwh) * 14, max(kwh), min(kwh) FROM mixed WHERE meter_id NOT IN (SELECT meter_id FROM ahead) GROUP BY 1""",
+)
+def forecast_or_history(spark, sf_dir):
+    """A summary for every meter: of its forecast, or of its history where it is too short for a model."""
+    d, _, ahead = _lookback_forecast(spark, sf_dir)
+    return with_fallback(ahead, d, 14)
+
+
+@query(
+    "meter_id, version:i, committed:i, step:i, day:d, forecast_kwh:2",
+    f"SELECT *, 2 AS version, 2 AS committed FROM (WITH RECURSIVE {_SQL_LINE}, {_sql_line_rollout(14)}) AS r",
+)
+def registry_forecast(spark, sf_dir):
+    """Two published runs and one that was not finished: models, bounds and metrics come from the second."""
+    d, registry = s.daily(spark, sf_dir), scratch_path(spark, "registry")
+    publish(d, registry, candidates={"linear": {"regParam": 10.0}}, features=["lag_1"], horizon=1)
+    version = publish(d, registry, candidates=LINE, features=["lag_1"], scale=False, horizon=1)
+    train_job(d, new_version(registry), {"linear": {"regParam": 5.0}}, features=["lag_1"], horizon=1)  # never committed
+    found = published(spark, registry, "linear")
+    ahead = fc.forecast(found.model, d, 14, found.bounds, found.name)
+    return ahead.withColumns({"version": F.lit(version.number), "committed": F.lit(len(versions(spark, registry)))})

@@ -123,3 +123,14 @@ def scaled(daily: DataFrame, factors: list[float], key=[METER], y=KWH) -> DataFr
     factor = F.explode(F.array(*[F.lit(float(f)) for f in factors]))
     d = daily.withColumn("scenario", factor)
     return d.withColumn(y, F.col(y) * F.col("scenario"))
+
+
+def with_fallback(fc: DataFrame, daily: DataFrame, horizon: int, key=[METER], y=KWH) -> DataFrame:
+    """One summary per meter: of its forecast, or of its history where there is no forecast.
+
+    ``kind`` is ``model`` or ``history``. A meter is routed by the forecast it lacks, so
+    none is left out and none comes twice; pass the forecast of one model and horizon.
+    """
+    forecast = forecast_summary(fc, by=[*key, "model"]).withColumn("kind", F.lit("model"))
+    without = daily.join(fc.select(*key).distinct(), key, "left_anti")
+    return forecast.unionByName(fallback_summary(without, horizon, key, y), allowMissingColumns=True)

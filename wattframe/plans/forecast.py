@@ -8,19 +8,22 @@ with the data; a reliable checkpoint every few steps keeps the plan short.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calendar import calendar_parts, cyclical_parts, future_days
 from ..functions.numeric import clip0, min_max, min_max_inverse
 from ..operators.baselines import history_buffer
 from ..operators.features import make_sequences
 from ..operators.outlook import finish_forecast
-from ..operators.split import scale_bounds, split_chrono
+from ..operators.split import effective_lookback, scale_bounds, split_chrono
 from ..schema import DAY, EPS_RATIO, FEATURES, HISTORY_ROWS, KWH, LAGS, METER, ROLLING_WINDOWS
-from ..session import cut_lineage
+from ..session import cut_lineage, materialise
 from .models import TARGET, scale_feature
 
 CHECKPOINT_EVERY = 5
@@ -194,3 +197,86 @@ def forecast_sequence(
             state = cut_lineage(state)
     state = state.withColumn("fc", F.transform("fc", lambda v: min_max_inverse(v, "lo", "hi")))
     return _explode(state, key, time, name, horizon)
+
+
+# ------------------------------------------------------------ a look-back per meter
+
+
+class LookbackModels(NamedTuple):
+    """One model per look-back, and what each meter needs of them: ``lookback, lo, hi``."""
+
+    models: dict[int, Model]
+    meters: DataFrame
+
+
+def window_mean(window: Column) -> Column:
+    """One feature, the mean of a window, whatever its length."""
+    return F.array(_sum(window) / F.size(window))
+
+
+def lookback_frame(daily: DataFrame, lookback: int = 30, ratio: float = 0.8, features=None, key=[METER], time=DAY, y=KWH) -> DataFrame:
+    """``sequence_frame`` with windows as long as each meter's history allows, and ``lookback`` on each row.
+
+    ``features`` turns a scaled window into the array a model reads; the window itself by default.
+    A meter with no more rows than its look-back, or none to train on, has no row.
+    """
+    series = Window.partitionBy(*key)
+    rows = daily.select(*key, time, y).where(F.col(y).isNotNull())
+    split = split_chrono(rows, ratio, key, time)
+    n = F.count(F.lit(1)).over(series)
+    known = F.when(F.col("split") == "train", F.col(y))
+    sized = split.withColumns({"lookback": effective_lookback(n, lookback), "lo": F.min(known).over(series), "hi": F.max(known).over(series)})
+    # windows as long as the longest, then cut to the meter's own
+    past = F.collect_list(y).over(series.orderBy(time).rowsBetween(-lookback, -1))
+    seqs = sized.withColumn("window", past).where(F.size("window") >= F.col("lookback"))
+    own = F.slice("window", F.size("window") - F.col("lookback") + 1, F.col("lookback"))
+    scaled = seqs.withColumn("scaled", F.transform(own, lambda v: min_max(v, F.col("lo"), F.col("hi"))))
+    made = F.col("scaled") if features is None else features(F.col("scaled"))
+    return scaled.select(*key, time, F.col(y).alias("label"), "split", "lookback", "lo", "hi", min_max(y, "lo", "hi").alias(TARGET), made.alias("inputs"))
+
+
+def fit_lookbacks(frame: DataFrame, estimator=None, key=[METER]) -> LookbackModels:
+    """One model per look-back, each on all meters that have it; at most as many as the longest look-back is days."""
+    frame = materialise(frame.withColumn("features", array_to_vector("inputs")).drop("inputs"), "look-backs")
+    trained = frame.where(F.col("split") == "train")
+    models = {}
+    for r in sorted(trained.select("lookback").distinct().collect()):
+        own = frame.where(F.col("lookback") == r.lookback)
+        models[r.lookback] = fit_sequence(own, estimator.copy() if estimator is not None else None)
+    can = trained.select(*key, "lookback", "lo", "hi").distinct()
+    return LookbackModels(models, can)
+
+
+def forecast_lookbacks(
+    fitted: LookbackModels, daily: DataFrame, horizon: int = 30, name: str = "sequence", features=None, key=[METER], time=DAY, y=KWH,
+    checkpoint_every: int = CHECKPOINT_EVERY,
+) -> DataFrame:
+    """All meters in one rollout, each with its own look-back and the model for it.
+
+    A step scores the meters of each look-back with their model and stacks the parts.
+    Meters that no model was trained for have no forecast (see ``with_fallback``).
+    """
+    longest = max(fitted.models, default=1)
+    # held in columns that the longest look-back bounds; a shorter one keeps its own tail
+    state = history_buffer(daily.where(F.col(y).isNotNull()), longest, key, time, y).join(fitted.meters, key)
+    tail = F.slice("buf", F.greatest(F.size("buf") - F.col("lookback"), F.lit(0)) + 1, F.col("lookback"))
+    scaled = F.transform(tail, lambda v: min_max(v, F.col("lo"), F.col("hi")))
+    state = state.withColumns({"buf": scaled, "fc": F.array().cast("array<double>")})
+    carried = [*key, "last_day", "lo", "hi", "lookback"]
+    made = F.col("buf") if features is None else features(F.col("buf"))
+    state = cut_lineage(state)
+    tasks = state.rdd.getNumPartitions()
+    for step in range(1, horizon + 1):
+        parts = []
+        for length, model in fitted.models.items():
+            own = state.where(F.col("lookback") == length).withColumn("features", array_to_vector(made))
+            nxt = F.array("prediction")
+            advanced = F.concat(F.slice("buf", 2, length - 1), nxt) if length > 1 else nxt
+            parts.append(model.transform(own).select(*carried, advanced.alias("buf"), F.concat("fc", nxt).alias("fc")))
+        if not parts:
+            break
+        state = reduce(DataFrame.unionByName, parts).coalesce(tasks)  # a union has the tasks of all its parts
+        if len(parts) > 1 or (step % checkpoint_every == 0 and step < horizon):
+            state = cut_lineage(state)
+    state = state.withColumn("fc", F.transform("fc", lambda v: min_max_inverse(v, F.col("lo"), F.col("hi"))))
+    return _explode(state, key, time, name, horizon)
