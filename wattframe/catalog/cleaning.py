@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, rollup
-from ..sources.layout import minute_readings
+from ..sources.layout import minute_readings, prepare_daily
 from ..sources.readers import parse_lines, read_telemetry
 from ..schema import MINUTE_COLUMNS
 from ..session import scratch_path
@@ -175,3 +175,67 @@ def day_against_last_week(spark, sf_dir):
     return d.withColumn("previous_week_mean", F.avg("kwh").over(week)).withColumn(
         "change_pct", pct_change("kwh", "previous_week_mean")
     )
+
+
+# A daily file with weather columns: dates that are none, copies that differ, cells without a value.
+_TARGET = "Previous electricity consumption (kWh)"
+
+
+def _daily_file(spark, sf_dir):
+    w = s.weather(spark, sf_dir).withColumn("k", F.col("meter_id").cast("bigint") + F.dayofmonth("day"))
+    copies = F.when(F.col("k") % 5 == 0, F.array(F.col("kwh"), F.col("kwh") * 2)).otherwise(F.array("kwh"))
+    path = scratch_path(spark, "daily-csv")
+    rows = w.select("meter_id", "day", "k", "temperature", "condition", F.explode(copies).alias("v"))
+    cells = rows.select(
+        "meter_id",
+        F.when(F.col("k") % 11 == 0, "unknown").otherwise(F.date_format("day", "yyyy-MM-dd")).alias("Date"),
+        F.col("temperature").alias("Temperature (C)"),
+        F.col("condition").alias("Weather condition"),
+        F.when(F.col("k") % 7 == 0, "?").otherwise(F.col("v").cast("string")).alias(_TARGET),
+    )
+    cells.write.option("header", True).csv(path)
+    return prepare_daily(read_telemetry(spark, path), meter="meter_id")
+
+
+_SQL_DAILY_FILE = f"""{s.SQL_WEATHER},
+cells AS (
+  SELECT meter_id, CASE WHEN k % 11 <> 0 THEN day END AS day, CASE WHEN k % 7 <> 0 THEN kwh * c END AS kwh, c
+  FROM (SELECT *, CAST(meter_id AS BIGINT) + dayofmonth(day) AS k, unnest(CASE WHEN (CAST(meter_id AS BIGINT) + dayofmonth(day)) % 5 = 0 THEN [1, 2] ELSE [1] END) AS c FROM weather)),
+once AS (SELECT * FROM cells WHERE day IS NOT NULL AND c = 1),
+i AS (SELECT *, row_number() OVER (PARTITION BY meter_id ORDER BY day) AS i FROM once),
+sides AS (
+  SELECT *, last_value(CASE WHEN kwh IS NOT NULL THEN i END IGNORE NULLS) OVER up AS pi, last_value(kwh IGNORE NULLS) OVER up AS pv,
+    first_value(CASE WHEN kwh IS NOT NULL THEN i END IGNORE NULLS) OVER down AS ni, first_value(kwh IGNORE NULLS) OVER down AS nv FROM i
+  WINDOW up AS (PARTITION BY meter_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+         down AS (PARTITION BY meter_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+filled AS (
+  SELECT meter_id, day, CASE WHEN kwh IS NOT NULL THEN kwh WHEN pv IS NOT NULL AND nv IS NOT NULL THEN pv + (nv - pv) * (i - pi) / (ni - pi) ELSE coalesce(pv, nv) END AS kwh FROM sides)"""
+
+
+@query(
+    "meter_id, ts:t, kwh:6, day_of_month:i, day_of_week:i, day_name, is_weekend:i, month_name, quarter:i, day_of_year:i, lag_1_filled:6, lag_7_filled:6, trailing_mean_7:6",
+    f"""WITH {_SQL_DAILY_FILE}, w AS (SELECT * FROM filled WHERE kwh IS NOT NULL)
+SELECT meter_id, CAST(day AS TIMESTAMP) AS ts, kwh, dayofmonth(day) AS day_of_month, isodow(day) - 1 AS day_of_week, dayname(day) AS day_name,
+  isodow(day) >= 6 AS is_weekend, strftime(day, '%b') AS month_name, quarter(day) AS quarter, dayofyear(day) AS day_of_year,
+  coalesce(lag(kwh, 1) OVER m, CASE WHEN count(*) OVER (PARTITION BY meter_id) > 1 THEN first_value(kwh) OVER m END) AS lag_1_filled,
+  coalesce(lag(kwh, 7) OVER m, CASE WHEN count(*) OVER (PARTITION BY meter_id) > 7 THEN first_value(kwh) OVER m END) AS lag_7_filled,
+  avg(kwh) OVER (PARTITION BY meter_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS trailing_mean_7
+FROM w WINDOW m AS (PARTITION BY meter_id ORDER BY day)""",
+)
+def daily_file(spark, sf_dir):
+    """A written daily file with weather columns to the daily table: layout, dates and target are found, not named."""
+    return _daily_file(spark, sf_dir)[0]
+
+
+@query(
+    "meter_id, dataset_type, initial_records:i, invalid_times:i, duplicates:i, final_records:i, missing_records_filled:i, start_date:d, end_date:d",
+    f"""WITH {_SQL_DAILY_FILE}, f AS (
+  SELECT meter_id, count(*) AS final_records, count(*) - count(kwh) AS missing_records_filled, min(day) AS start_date, max(day) AS end_date FROM once GROUP BY 1)
+SELECT c.meter_id, 'daily' AS dataset_type, count(*) AS initial_records, count(*) - count(c.day) AS invalid_times,
+  count(c.day) - coalesce(any_value(final_records), 0) AS duplicates, coalesce(any_value(final_records), 0) AS final_records,
+  coalesce(any_value(missing_records_filled), 0) AS missing_records_filled, any_value(start_date) AS start_date, any_value(end_date) AS end_date
+FROM cells c LEFT JOIN f ON f.meter_id = c.meter_id GROUP BY c.meter_id""",
+)
+def daily_file_report(spark, sf_dir):
+    """The quality report of the same file."""
+    return _daily_file(spark, sf_dir)[1]
