@@ -60,3 +60,20 @@ def test_top_k(spark, monkeypatch):
     assert topk.search(d.limit(0)).count() == 0
     two = d.where("vec_id IN (0, 1)")
     assert [tuple(x)[:3] for x in topk.search(two).collect()] == [(0, 1, 1)]
+
+
+def test_each_length_is_searched_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    monkeypatch.setattr(topk, "PIVOT_ROWS", 5)
+    big = 2.0**21  # products past the exact range of doubles, within 64 bits
+    rows = [(i, [float(i % 7), 1.0]) for i in range(60)] + [(100 + i, [i / 3, 0.5, -1.0]) for i in range(30)] + [(200, []), (201, [])]
+    rows += [(300 + i, [big + i / 256, 1.0, 1.0, i / 256]) for i in range(5)]
+    got = {}
+    for x in topk.search(spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.vec_id, x.score))
+    v = {i: [int(256 * x // 1) for x in e] for i, e in rows}
+    want = {}
+    for q in (0, 50, 100, 200, 300):
+        scores = [(i, sum(a * b for a, b in zip(v[q], x))) for i, x in v.items() if i != q and len(x) == len(v[q])]
+        want[q] = sorted(scores, key=lambda p: (-p[1], p[0]))[:5]
+    assert got == want and want[300][0][1] > 2**53
