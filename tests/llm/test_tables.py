@@ -16,7 +16,9 @@ def test_archives(spark, tmp_path):
     pages = spark.createDataFrame([*rows, rows[5], (None, "u", "lost", 1, "s")], PAGES)
     folder = f"file://{tmp_path}/w"
     got = warc.archive_pages(pages, folder).collect()
-    assert len(got) == 9
+    assert len(got) == 10  # a record per row, also without an id
+    assert [(r.record_type, r.refers_to, bytes(r.payload)) for r in got if r.page_id is None] == [("response", None, b"lost")]
+    got = [r for r in got if r.page_id is not None]
     first = {}
     for i, h in enumerate(html):
         first.setdefault(h or "", i)
@@ -33,6 +35,13 @@ def test_archives(spark, tmp_path):
     assert warc.archive_pages(pages.limit(0)).count() == 0
 
 
+def test_pages_without_an_id(spark, tmp_path):
+    rows = [(None, "u", "a", 1, "s"), (3, "u", "a", 1, "s"), (None, None, "b", 1, "s"), (None, "u", "b", 1, "s"), (5, "u", "a", 1, "s")]
+    got = warc.archive_pages(spark.createDataFrame(rows, PAGES), f"file://{tmp_path}/w").collect()
+    found = sorted((r.page_id or 0, r.record_type, r.refers_to or 0, bytes(r.payload or b"").decode()) for r in got)
+    assert found == [(0, "response", 0, "b"), (0, "response", 0, "b"), (0, "revisit", 3, ""), (3, "response", 0, "a"), (5, "revisit", 3, "")]
+
+
 def test_records_over_chunk_borders():
     raw = [warc.record(i, "u", bytes(random.Random(i).randbytes(50 * i)), "D", None) for i in range(9)]
     whole = b"".join(raw)

@@ -32,24 +32,30 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(page: object) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
 
 
 def headers(pairs: list[tuple[str, object]], first: str) -> bytes:
     return "\r\n".join([first, *(f"{k}: {v}" for k, v in pairs)]).encode() + _END
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
-    """One WARC record; with ``original`` a revisit of that page, which holds the response's headers only."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, original: int | None) -> bytes:
+    """One WARC record; with ``original`` a revisit of that page, which holds the response's headers only.
+
+    A page without an id is named by its payload and has no ``X-Page-ID``.
+    """
     http = headers([("Content-Type", "text/html; charset=utf-8"), ("Content-Length", len(payload))], "HTTP/1.1 200 OK")
     block = http if original is not None else http + payload
     kind = "response" if original is None else "revisit"
-    target = "".join(c for c in url or f"urn:page:{page_id}" if c not in "\r\n")
+    page = digest if page_id is None else page_id
+    target = "".join(c for c in url or f"urn:page:{page}" if c not in "\r\n")
     pairs = [
-        ("WARC-Type", kind), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", _DATE), ("WARC-Target-URI", target),
-        ("WARC-Payload-Digest", f"sha1:{digest}"), ("X-Page-ID", page_id),
+        ("WARC-Type", kind), ("WARC-Record-ID", record_id(page)), ("WARC-Date", _DATE), ("WARC-Target-URI", target),
+        ("WARC-Payload-Digest", f"sha1:{digest}"),
     ]
+    if page_id is not None:
+        pairs.append(("X-Page-ID", page_id))
     if original is not None:
         pairs += [
             ("WARC-Refers-To", record_id(original)), ("X-Refers-To-Page-ID", original),
@@ -68,6 +74,10 @@ def parse_head(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in raw.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
+def page_number(head: dict[str, str], name: str) -> int | None:
+    return int(head[name]) if name in head else None
+
+
 def records(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """Whole records out of a stream of bytes; holds one record at most."""
     held = bytearray()
@@ -96,12 +106,13 @@ def inflate(stream) -> Iterator[bytes]:
 
 def decide(pages: DataFrame, least: int = 0) -> DataFrame:
     """``page_id, url, payload, payload_digest, original``: of pages whose payloads of ``least``
-    bytes or more are equal, the smallest ``page_id`` keeps it and the others point there."""
+    bytes or more are equal, the smallest ``page_id`` keeps it and the others point there.
+    Pages without an id point there too; if no page of a payload has one, each keeps it."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     p = pages.select("page_id", "url", payload.alias("payload"), F.sha1(payload).alias("sha"))
     first = p.groupBy("sha").agg(F.min("page_id").alias("first"))  # a row per payload and task crosses the network
     p = p.join(first, "sha")
-    again = (F.octet_length("payload") >= least) & (F.col("page_id") != F.col("first"))
+    again = (F.octet_length("payload") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
     return p.select("page_id", "url", "payload", F.when(again, F.col("first")).alias("original"))
 
 
@@ -157,7 +168,7 @@ def normalise(archives: DataFrame, folder: str, to: str) -> DataFrame:
                     member = z.compress(raw) + z.flush()
                     out.write(member)
                     head = parse_head(raw[: raw.index(_END)])
-                    for k, v in zip(index, (new, no, at, len(member), int(head["x-page-id"]), head["warc-type"]), strict=True):
+                    for k, v in zip(index, (new, no, at, len(member), page_number(head, "x-page-id"), head["warc-type"]), strict=True):
                         index[k].append(v)
                     at += len(member)
             yield index
@@ -166,11 +177,12 @@ def normalise(archives: DataFrame, folder: str, to: str) -> DataFrame:
     return map_batches(archives, run, schema)
 
 
-def read(index: DataFrame, folder: str) -> DataFrame:
+def read(index: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Records by their place: ``page_id, payload_bytes, payload_digest, record_type, refers_to, payload``.
 
     Bytes and digest are those of the full payload, for revisits as the record states them;
     for responses both are taken from the payload read back and compared with the record.
+    The archives are dealt to ``tasks`` tasks: the index is small, what it points to is not.
     """
 
     def run(batch):
@@ -192,8 +204,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             body = block[http_end + 4 :] if head["warc-type"] == "response" else None
             if body is not None and (len(body) != size or base32_sha1(body) != digest):
                 raise ValueError(f"{archive} at {offset}: the payload is not the one the record states")
-            refers = head.get("x-refers-to-page-id")
-            row = (int(head["x-page-id"]), size, digest, head["warc-type"], None if refers is None else int(refers), body)
+            row = (page_number(head, "x-page-id"), size, digest, head["warc-type"], page_number(head, "x-refers-to-page-id"), body)
             for k, v in zip(out, row, strict=True):
                 out[k].append(v)
             held += len(raw)
@@ -205,7 +216,7 @@ def read(index: DataFrame, folder: str) -> DataFrame:
         if out["page_id"]:
             yield out
 
-    near = index.repartition("archive").sortWithinPartitions("archive", "offset")
+    near = index.repartition(tasks, "archive").sortWithinPartitions("archive", "offset")
     schema = "page_id BIGINT, payload_bytes BIGINT, payload_digest STRING, record_type STRING, refers_to BIGINT, payload BINARY"
     return map_batches(near, run, schema)
 
@@ -214,21 +225,24 @@ def archive_pages(pages: DataFrame, folder: str | None = None, least: int = 0) -
     """Write pages to monolithic archives, normalise these, and read the records back.
 
     * Null html is an empty payload; empty payloads are equal to one another.
-    * Pages without ``page_id`` cannot be referred to and are left out.
+    * A page without ``page_id`` has a record too. It cannot be referred to: it is a revisit of
+      the page with an id that has its payload, or a response if there is none.
     * Rows that repeat a ``page_id`` with the same payload are equal responses, each
       a record of its own.
-    * A null ``url`` is replaced by a name made of the id; other columns are not read.
+    * A null ``url`` is replaced by a name made of the id, or of the payload; other columns are not read.
+    * Very long pages are records like any other; a task holds one record and 8 MB of rows at most.
     * An empty table writes nothing and gives no rows.
     """
     spark = pages.sparkSession
     folder = folder or scratch_path(spark, "warc")
-    decided = decide(pages.where(F.col("page_id").isNotNull()).withColumn("page_id", F.col("page_id").cast("bigint")), least)
+    decided = decide(pages.withColumn("page_id", F.col("page_id").cast("bigint")), least)
     written = materialise(write(decided, f"{folder}/monolithic"), "warc-archives")
     # archives are few, and each is work of its own: one to a task
-    dealt = written.repartition(max(1, min(4096, written.count())), "archive")
+    tasks = max(1, min(4096, written.count()))
+    dealt = written.repartition(tasks, "archive")
     index = f"{folder}/index"
     normalise(dealt, f"{folder}/monolithic", f"{folder}/records").write.parquet(index)
-    return read(spark.read.parquet(index), f"{folder}/records")
+    return read(spark.read.parquet(index), f"{folder}/records", tasks)
 
 
 SQL = """
