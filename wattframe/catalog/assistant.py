@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..operators import assistant as a
 from ..operators.baselines import forecast_baseline
 from ..operators.outlook import finish_forecast
-from ..operators.reports import autocorr
+from ..operators.reports import autocorr, hourly_profile
 from . import standins as s
 from .base import query
+from .models import _SQL_METRICS, CALENDAR, SQL_CALENDAR, calendar_forest
 from .outlook import SQL_SUMMARY, sql_ma_forecast
 
 _SQL_INTENT = (
@@ -122,3 +123,48 @@ def answers(spark, sf_dir):
         "conv_id", "turn", "meter_id", "intent", _json("mean_kwh"), _json("saved_kwh"), _json("weekend_mean"),
         _json("expected_avg_kwh"), _json("max_forecast_date", "string"), _json("start_date", "string"),
     )
+
+
+_SQL_ALL_FACTS = f"""{_SQL_FACTS}, {s.SQL_HOUSES}, {s.SQL_POWER}, {SQL_CALENDAR.removeprefix(s.SQL_DAILY).lstrip(", ")},
+shares AS (
+  SELECT meter_id, sum(sub1_wh) / 10.0 / sum(kwh) AS kitchen_pct, sum(sub2_wh) / 10.0 / sum(kwh) AS laundry_pct, sum(sub3_wh) / 10.0 / sum(kwh) AS climate_pct,
+    avg(kwh) FILTER (temperature > 30) AS hot_mean, avg(kwh) FILTER (temperature <= 26) AS mild_mean FROM houses GROUP BY 1),
+hours AS (SELECT meter_id, hour, round(avg(active_power_kw), 9) AS m FROM power WHERE active_power_kw IS NOT NULL GROUP BY 1, 2),
+ends_of_day AS (
+  SELECT meter_id, arg_min(hour, struct_pack(a := -m, b := hour)) AS peak_hour, max(m) AS peak_hour_power_kw,
+    arg_min(hour, struct_pack(a := m, b := hour)) AS min_hour FROM hours GROUP BY 1),
+quality AS (SELECT {_SQL_METRICS} FROM scored)"""
+
+
+@query(
+    "conv_id:i, turn:i, meter_id, intent, unanswered:i, model, rmse:1, listed_features:i, importance:6, kitchen_pct:6, laundry_pct:6, climate_pct:6, "
+    "other_pct:6, peak_hour:i, peak_hour_power_kw:6, min_hour:i, hot_mean:6, mild_mean:6, temperature_diff_pct:4, days:i",
+    f"""WITH RECURSIVE {_SQL_ALL_FACTS}, {_SQL_ROUTED}
+SELECT conv_id, turn, r.meter_id, intent, 0 AS unanswered,
+  CASE WHEN intent = 'model' THEN 'random_forest' END AS model, CASE WHEN intent = 'model' THEN rmse END AS rmse,
+  CASE WHEN intent = 'features' THEN {len(CALENDAR)} END AS listed_features, CASE WHEN intent = 'features' THEN 1.0 END AS importance,
+  CASE WHEN intent = 'submetering' THEN kitchen_pct END AS kitchen_pct, CASE WHEN intent = 'submetering' THEN laundry_pct END AS laundry_pct,
+  CASE WHEN intent = 'submetering' THEN climate_pct END AS climate_pct,
+  CASE WHEN intent = 'submetering' THEN greatest(0.0, 100.0 - kitchen_pct - laundry_pct - climate_pct) END AS other_pct,
+  CASE WHEN intent = 'schedule' THEN peak_hour END AS peak_hour, CASE WHEN intent = 'schedule' THEN peak_hour_power_kw END AS peak_hour_power_kw,
+  CASE WHEN intent = 'schedule' THEN min_hour END AS min_hour, CASE WHEN intent = 'weather' THEN hot_mean END AS hot_mean,
+  CASE WHEN intent = 'weather' THEN mild_mean END AS mild_mean, CASE WHEN intent = 'weather' THEN {_TEMPERATURE_SQL} END AS temperature_diff_pct,
+  CASE WHEN intent IN ('greeting', 'historical') THEN days END AS days
+FROM routed r JOIN facts f ON f.meter_id = r.meter_id JOIN shares sh ON sh.meter_id = r.meter_id JOIN ends_of_day e ON e.meter_id = r.meter_id, quality""",
+)
+def answers_all_intents(spark, sf_dir):
+    """Every intent has figures: forecast, model, importances, sub-meters, hours and weather of each meter."""
+    d, run = s.houses(spark, sf_dir), calendar_forest(spark, sf_dir)
+    ahead = finish_forecast(forecast_baseline(d.select("meter_id", "day", "kwh"), "ma", 30))
+    profile = hourly_profile(s.power(spark, sf_dir), places=(9, 9))
+    known = a.facts(d, ahead, run.metrics, run.importances, "temperature", profile=profile)
+    out = a.answer(a.route_intents(s.utterances(spark, sf_dir)).drop("text"), known)
+    listed = F.from_json("answer", "top_features MAP<STRING, ARRAY<STRUCT<rank INT, feature STRING, importance DOUBLE>>>")["top_features"]["random_forest"]
+    figures = ["kitchen_pct", "laundry_pct", "climate_pct", "other_pct", "peak_hour_power_kw", "hot_mean", "mild_mean", "temperature_diff_pct"]
+    return out.select(
+        "conv_id", "turn", "meter_id", "intent", (F.length(F.coalesce("answer", F.lit(""))) < 3).alias("unanswered"),
+        F.get_json_object("answer", "$.best_model.model").alias("model"), F.get_json_object("answer", "$.best_model.rmse").alias("rmse"),
+        F.when(listed.isNotNull(), F.size(listed)).alias("listed_features"),
+        F.when(listed.isNotNull(), F.aggregate(listed, F.lit(0.0), lambda total, x: total + x["importance"])).alias("importance"),
+        *map(_json, figures), _json("peak_hour", "int"), _json("min_hour", "int"), _json("days", "int"),
+    )

@@ -98,6 +98,22 @@ def forest_scores(spark, sf_dir):
     return mod.score_test(mod.fit(frame, "random_forest", ["day_of_week"], bootstrap=False), frame)
 
 
+# Full depth separates the groups of several columns with few values; SQL numbers the groups.
+CALENDAR = ["is_weekend", "quarter", "month"]
+SQL_CALENDAR = _sql_means("month(day) + CASE WHEN isodow(day) >= 6 THEN 100 ELSE 0 END")
+
+
+def calendar_forest(spark, sf_dir):
+    """The forest on three calendar columns, evaluated."""
+    return mod.benchmark(s.daily(spark, sf_dir), WHOLE_FOREST, features=CALENDAR)
+
+
+@query("meter_id, date:d, kwh:2, prediction:1", f"WITH {SQL_CALENDAR} SELECT * FROM scored")
+def forest_scores_by_calendar(spark, sf_dir):
+    run = calendar_forest(spark, sf_dir)
+    return mod.score_test(run.best_fit, run.frame)
+
+
 @query(_FC)
 def sequence_forecast(spark, sf_dir):
     d = s.daily(spark, sf_dir)

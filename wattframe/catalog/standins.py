@@ -2,6 +2,8 @@
 
 ``readings``     events: user = meter, value = kW (null on ``error`` rows)
 ``daily``        orders: priority = meter, order date = day, price = kWh, gap-free
+``houses``       ``daily`` with order status = sub-meter, and a temperature by month
+``power``        ``readings`` of five meters: user modulo five
 ``metered``      lineitem: line status = meter, return flag = sub-meter
 ``weather``      events per user and day, with a temperature and a condition
 ``homes``        lineitem per supplier and day, with a number of people
@@ -131,6 +133,29 @@ def sql_spine(days: str = "days", out: str = "daily", sums=("kwh",), others=())
 SQL_DAILY = f"{SQL_ORDER_DAYS},\n{sql_spine()}"
 
 
+def houses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    price, status = F.col("o_totalprice"), F.col("o_orderstatus")
+    subs = {f"sub{i}_wh": F.sum(F.when(status == c, price * 500.0).otherwise(0.0)) for i, c in enumerate("FOP", 1)}
+    days = (
+        table(spark, sf_dir, "orders")
+        .groupBy(F.col("o_orderpriority").alias("meter_id"), F.to_date("o_orderdate").alias("day"))
+        .agg(F.round(F.sum(price), 2).alias("kwh"), *[c.alias(n) for n, c in subs.items()])
+    )
+    return day_spine(days, ["kwh", *subs]).withColumn("temperature", 12 + 4.0 * (6 - F.abs(F.month("day") - 7)))
+
+
+SQL_HOUSES = f"""house_days AS (
+  SELECT o_orderpriority AS meter_id, CAST(o_orderdate AS DATE) AS day, round(sum(o_totalprice), 2) AS kwh,
+         {", ".join(f"sum(CASE WHEN o_orderstatus = '{c}' THEN o_totalprice * 500.0 ELSE 0.0 END) AS sub{i}_wh" for i, c in enumerate("FOP", 1))}
+  FROM orders GROUP BY 1, 2),
+{sql_spine("house_days", "house_spine", ("kwh", "sub1_wh", "sub2_wh", "sub3_wh"))},
+houses AS (SELECT *, 12 + 4.0 * (6 - abs(month(day) - 7)) AS temperature FROM house_spine)"""
+
+
+def power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readings(spark, sf_dir).withColumn("meter_id", _pick(METERS, F.pmod(F.col("meter_id").cast("bigint"), F.lit(len(METERS)))))
+
+
 def metered(spark: SparkSession, sf_dir: str) -> DataFrame:
     q, flag = F.col("l_quantity"), F.col("l_returnflag")
     return (
@@ -240,6 +265,10 @@ def _sql_list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
+SQL_POWER = f"""power AS (
+  SELECT {_sql_list(METERS)}[user_id % {len(METERS)} + 1] AS meter_id, hour(ts) AS hour, CASE WHEN event_type <> 'error' THEN value END AS active_power_kw
+  FROM events)"""
+
 SQL_UTTERANCES = f"""utterances AS (
   SELECT conv_id, turn, {_sql_list(METERS)}[conv_id % {len(METERS)} + 1] AS meter_id,
          {_sql_list(QUESTIONS)}[conv_id % {len(QUESTIONS)} + 1] || ' ' || text AS text

@@ -10,7 +10,7 @@ from ..functions.numeric import pct_change
 from ..functions.text import contains_word, normalise
 from ..schema import DAY, KWH, METER
 from .outlook import summary_exprs, weekend_effect_exprs
-from .reports import is_hot, is_mild, kpi_exprs, submeter_share_exprs, weekend_means
+from .reports import is_hot, is_mild, kpi_exprs, peak_hours, submeter_share_exprs, weekend_means
 from .savings import CO2_PER_TREE, DEFAULT_CO2, DEFAULT_PCT, DEFAULT_TARIFF
 
 # Intent -> keywords, in order of priority (the first match wins).
@@ -70,6 +70,7 @@ def facts(
     key=[METER],
     time=DAY,
     y=KWH,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """One row of figures per meter.
 
@@ -77,6 +78,7 @@ def facts(
     recent rows, and the aggregate reuses its partitioning. ``fc`` is one rounded
     forecast (one model and horizon). ``metrics`` and ``importances`` are those
     of the pooled models, a handful of rows that are attached to every meter.
+    ``profile`` holds the 24 rows of each meter that ``hourly_profile`` gives.
     """
     back = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(time).desc()))
     we, wd = weekend_means(time, y)
@@ -114,6 +116,8 @@ def facts(
         out = out.join(fc.groupBy(*key).agg(*[c.alias(n) for n, c in ahead.items()]), key, "left").withColumn(
             "forecast_delta_pct", pct_change("expected_avg_kwh", "recent_mean")
         )
+    if profile is not None:
+        out = out.join(peak_hours(profile, key), key, "left")
     if metrics is not None:
         best = metrics.agg(
             F.min_by(F.struct("model", "mae", "rmse", "r2", "mape"), F.struct("rmse", "candidate_no")).alias("best_model")
