@@ -71,6 +71,21 @@ def test_repeats_on_edges(edges, module, width, by_words):
     assert module.dedup(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ranks_by_a_distributed_sort(spark, seed):
+    import random
+
+    r = random.Random(seed)
+    # one value in a third of the rows, so that several ranges hold it
+    rows = [(u, i, 7 if r.random() < 0.34 else r.randrange(400), r.randrange(2)) for u in range(60) for i in range(20)]
+    values = sorted({x[2:] for x in rows})
+    count = Counter(x[2:] for x in rows)
+    df = spark.createDataFrame(rows, "uid BIGINT, i INT, a BIGINT, b BIGINT")
+    got = sorted(tuple(x) for x in repeats.ranked(df.repartition(5), ["a", "b"], "test-ranks").collect())
+    assert got == sorted((*x, values.index(x[2:]) + 1) for x in rows if count[x[2:]] > 1)
+    assert repeats.ranked(df.where("a < 0"), ["a", "b"], "test-ranks").count() == 0
+
+
 def test_windows_without_a_place_have_an_anchor():
     b = np.frombuffer(prose(2000, 3).encode(), np.uint8)
     a = suffixarray.anchors(b)

@@ -11,14 +11,16 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialise
-from .common import map_batches, utf8
+from .common import arrow_schema, map_batches, utf8
 
 #: Contexts of one anchor key that are compared in one group, some 30 MB; a key that has more is counted by its windows.
 KEY_LIMIT = 60_000
@@ -218,3 +220,59 @@ def seen_elsewhere(rows: DataFrame, name: str = "key") -> DataFrame:
     Counts are merged before the network; the join back may be split at frequent names."""
     met = rows.groupBy(name).agg(F.min("cls").alias("c0"), F.max("cls").alias("c1"), F.max("again").alias("a"))
     return rows.join(met.where("c0 <> c1 OR a").select(name), name)
+
+
+def ranked(rows: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Rows whose ``by`` (longs) another row has too, with ``rank``, the dense rank of ``by`` among all rows.
+
+    Spark sorts the rows by ``by``, ``uid`` and ``i`` over ranges, so that a frequent value
+    is spread over several tasks. Each task numbers its distinct values and drops those of one
+    row, but for its first and last row; prefix sums of the tasks' counts, less
+    the values that go on from one task to the next, make the numbers ranks.
+    """
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    schema = f"{fields}, pid INT, rank BIGINT, twice BOOLEAN"
+    arrow, columns = arrow_schema(rows, schema), rows.columns
+
+    def number(batches):
+        pid, rank, last, held, first = TaskContext.get().partitionId(), 0, None, None, True
+        for batch in chain(batches, [None]):  # the last row waits for the one after it
+            some = [x for x in (held, batch) if x is not None and x.num_rows]
+            if not some:
+                continue
+            t = pa.Table.from_batches(some).combine_chunks()
+            v = np.stack([t.column(c).to_numpy() for c in by])
+            n = t.num_rows
+            done = n if batch is None else n - 1
+            new = np.ones(n + 1, bool)  # the value is not that of the row before
+            new[1:n] = (v[:, 1:] != v[:, :-1]).any(0)
+            if last is not None:
+                new[0] = (v[:, 0] != last).any()
+            if done:
+                ranks = rank + np.cumsum(new[:done])
+                twice = ~(new[:done] & new[1 : done + 1])
+                keep = twice.copy()
+                keep[0] |= first
+                keep[-1] |= batch is None
+                at = np.flatnonzero(keep)
+                rank, last, first = int(ranks[-1]), v[:, done - 1], False
+                if len(at):
+                    out = t.select(columns).take(at)
+                    for c, x in (("pid", np.full(len(at), pid, np.int32)), ("rank", ranks[at]), ("twice", twice[at])):
+                        out = out.append_column(c, pa.array(x))
+                    yield from out.cast(arrow).to_batches()
+            held = t.slice(done).to_batches()[0] if done < n else None
+
+    order = [*by, "uid", "i"]
+    local = materialise(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(number, schema), name)
+    value, by_task = F.struct(*by), Window.orderBy("pid")
+    ends = local.groupBy("pid").agg(F.min(value).alias("a"), F.max(value).alias("z"), F.max("rank").alias("values"))  # a row per task
+    ends = ends.withColumns({
+        "goes_back": F.coalesce(F.col("a") == F.lag("z").over(by_task), F.lit(False)),
+        "goes_on": F.coalesce(F.col("z") == F.lead("a").over(by_task), F.lit(False)),
+    })
+    before = F.sum(F.col("values") - F.col("goes_back").cast("bigint")).over(by_task) - F.col("values")
+    ends = ends.select("pid", "values", "goes_back", "goes_on", before.alias("before"))
+    shared = F.expr("twice OR (rank = 1 AND goes_back) OR (rank = values AND goes_on)")
+    found = local.join(F.broadcast(ends), "pid").where(shared)
+    return found.select(*columns, (F.col("before") + F.col("rank")).alias("rank"))

@@ -2,11 +2,12 @@
 
 Texts are cut at places that their bytes alone decide (the least hash among its
 ``REACH`` neighbours on either side), so equal passages are cut alike. The suffixes that
-begin at such places are ranked by prefix doubling: rank 0 names the phrase up to
-the next place, rank k the pair of rank k-1 here and 2^(k-1) phrases on. After each
-round a suffix whose rank is unique leaves; one that has reached the number of phrases
-that any window from here must hold has passed the threshold. What is left after
-that is compared byte by byte, which settles the ends between the places.
+begin at such places are ranked by prefix doubling: rank 0 is the place of the phrase up
+to the next place among all phrases in sorted order, rank k that of the pair of rank
+k-1 here and 2^(k-1) phrases on. Phrases are sorted by their hashes, pairs by their
+ranks. After each round a suffix whose rank is unique leaves; one that has reached the number
+of phrases that any window from here must hold has passed the threshold. What is left
+after that is compared byte by byte, which settles the ends between the places.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialise
 from .common import map_batches, utf8
-from .repeats import Anchors, Units, remove, seen_elsewhere
+from .repeats import Anchors, Units, ranked, remove
 from .wordhash import mix
 
 WINDOW = 400
@@ -133,19 +134,15 @@ BYTES = Units(
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, sha, cls`` and per place ``key, phrase, depth, again``, a row per row of ``docs``."""
+    """``doc_id, n, sha`` and per place ``key, phrase, depth``, a row per row of ``docs``."""
 
     def run(batch):
-        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "sha", "cls", "keys", "phrase", "depth", "again")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "n", "sha", "keys", "phrase", "depth")}
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8(batch, "text"), strict=True):
-            digest, b = hashlib.sha256(text), np.frombuffer(text, np.uint8)
+            b = np.frombuffer(text, np.uint8)
             a = anchors(b)
             name, depth = phrases(b, a)
-            _, of, count = np.unique(a.key, return_inverse=True, return_counts=True)
-            row = (
-                doc_id, len(text), digest.hexdigest(), int.from_bytes(digest.digest()[:8], "little", signed=True),
-                a.key.view(np.int64), name.view(np.int64), depth, count[of] > 1,
-            )
+            row = (doc_id, len(text), hashlib.sha256(text).hexdigest(), a.key.view(np.int64), name.view(np.int64), depth)
             for k, v in zip(out, row, strict=True):
                 out[k].append(v)
             if len(out["n"]) == 1000:
@@ -154,27 +151,29 @@ def scan(docs: DataFrame) -> DataFrame:
         if out["n"]:
             yield out
 
-    schema = "doc_id BIGINT, n BIGINT, sha STRING, cls BIGINT, keys ARRAY<BIGINT>, phrase ARRAY<BIGINT>, depth ARRAY<TINYINT>, again ARRAY<BOOLEAN>"
+    schema = "doc_id BIGINT, n BIGINT, sha STRING, keys ARRAY<BIGINT>, phrase ARRAY<BIGINT>, depth ARRAY<TINYINT>"
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema)
 
 
 def doubling(t: DataFrame) -> DataFrame:
-    """``uid, i, key`` of the places from which a window may be repeated."""
-    zipped = F.posexplode(F.arrays_zip("keys", "phrase", "depth", "again")).alias("i", "x")
-    s = t.select("uid", "cls", zipped).select("uid", "cls", "i", F.col("x.keys").alias("key"), "x.phrase", "x.depth", "x.again")
-    s = materialise(seen_elsewhere(s, "key"), "places")
+    """``uid, i, key`` of the places from which a window may be repeated; equal texts are ranked once."""
+    first = t.groupBy("sha").agg(F.min("uid").alias("uid")).select("uid")
+    zipped = F.posexplode(F.arrays_zip("keys", "phrase", "depth")).alias("i", "x")
+    s = t.select("uid", "keys", "phrase", "depth").join(first, "uid", "left_semi").select("uid", zipped)
+    s = s.select("uid", "i", F.col("x.keys").alias("bytes"), "x.phrase", "x.depth")
+    s = ranked(s, ["bytes"], "places").drop("bytes").withColumnRenamed("rank", "key")
     found = s.where("depth = -1").select("uid", "i", "key")
-    # rank 0: the phrase itself; the last place of a text begins none
-    rank, step = s.where("phrase <> 0").withColumn("rank", F.col("phrase")).drop("phrase"), 0
+    # rank 0 is that of the phrase itself; the last place of a text begins none
+    rank, step = ranked(s.where("phrase <> 0"), ["phrase"], "rank-0").drop("phrase"), 0
     while True:
-        rank = materialise(seen_elsewhere(rank, "rank"), f"rank-{step}")
         found = found.unionByName(rank.where(F.col("depth") == step).select("uid", "i", "key"))
         if rank.where(F.col("depth") > step).isEmpty():
             return found
         hop = 1 << step
         on = F.max("rank").over(Window.partitionBy("uid").orderBy("i").rangeBetween(hop, hop))
-        rank = rank.withColumn("on", on).where("on IS NOT NULL").withColumn("rank", F.xxhash64("rank", "on")).drop("on")
+        pairs = rank.withColumn("on", on).where("on IS NOT NULL").withColumnRenamed("rank", "here")
         step += 1
+        rank = ranked(pairs, ["here", "on"], f"rank-{step}").drop("here", "on")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
