@@ -87,6 +87,13 @@ def test_quality_report(readings):
     assert (str(r["start_date"]), str(r["end_date"]), r["clean_daily_records"]) == ("2024-01-01", "2024-01-01", 1)
 
 
+def test_quality_report_by_another_tie(readings):
+    raw = readings([("a", 1, "2024-01-01 00:00:00", None), ("a", 2, "2024-01-01 00:00:00", 5.0)])
+    filled = lambda df, **kw: c.quality_report(df, ["active_power_kw"], **kw).head()["missing_records_filled"]
+    assert filled(raw) == 1
+    assert filled(raw.withColumn("version", -raw["seq"]).drop("seq"), tie="version") == 0
+
+
 def test_spine_fills_empty_days(spark):
     df = spark.sql(
         "SELECT 'a' AS meter_id, day, 2.0D AS power_sum, 1.0D AS power_mean FROM VALUES (date'2024-02-27'), (date'2024-03-01') AS t(day)"

@@ -105,6 +105,17 @@ def test_three_row_table_in_memory(spark):
     assert [r["kwh"] for r in daily.orderBy("day").collect()] == [25.4, 28.1, 31.0]
 
 
+def test_first_of_a_plain_table_whatever_its_partitions(spark):
+    rows = [("2024-01-%02d" % (d % 20 + 1), "v%d" % (d // 20 % 3), float(d)) for d in range(200)]
+    df = spark.createDataFrame(rows, "date STRING, version STRING, kwh DOUBLE")
+    got = []
+    for parts in (df.coalesce(1), df.repartition(7), df.orderBy(df["kwh"].desc())):
+        daily, _ = prepare_daily(parts, target="kwh", order=["version"])
+        got.append(sorted((str(r["day"]), r["src_version"], r["kwh"]) for r in daily.collect()))
+    assert got[0] == got[1] == got[2]
+    assert [x[1] for x in got[0]] == ["v0"] * 20
+
+
 def test_daily_rows_are_not_resampled_unless_asked(spark):
     df = spark.createDataFrame([("2026-01-01", 1.0, 0), ("2026-01-04", 4.0, 1)], "Date STRING, Daily_energy_kWh DOUBLE, seq BIGINT")
     assert prepare_daily(df)[0].count() == 2

@@ -211,15 +211,17 @@ def quality_report(
     time: str = TS,
     layout: str = "minute",
     target: str = "kwh",
+    tie: str = "seq",
 ) -> DataFrame:
     """One row per meter: what came in, what was dropped, what had to be filled.
 
+    Of several copies the one with the lowest ``tie`` counts, as in ``clean_readings``.
     Copies collapse to ``(key, time)`` and then to ``(key, day)`` before the
     final aggregate, so no step holds a meter's readings in one task.
     """
     per_time = raw.groupBy(*key, time).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.min_by(any_missing(cols), F.col("seq")).alias("_missing"),
+        F.min_by(any_missing(cols), F.col(tie)).alias("_missing"),
     )
     per_day = per_time.groupBy(*key, F.to_date(time).alias("_day")).agg(
         F.sum("_rows").alias("_rows"),

@@ -53,14 +53,22 @@ def resolve_target(df: DataFrame, candidates: list[str] = TARGET_CANDIDATES, ski
     return named or first_numeric_column(df, skip) or df.columns[1]
 
 
-def with_place(raw: DataFrame) -> DataFrame:
-    """A table that brings no place of its own gets the order in which it is read."""
-    return raw if SEQ in raw.columns else raw.withColumn(SEQ, F.monotonically_increasing_id())
-
-
-def minute_readings(raw: DataFrame, meter: str | None = None) -> DataFrame:
+def with_place(raw: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """A table that brings no place of its own gets that of its ``order`` columns, rows
+    that share them that of their content, however the table is partitioned.
+    Without ``order`` the place is the order in which the table is read."""
+    if SEQ in raw.columns:
+        return raw
+    if not order:
+        return raw.withColumn(SEQ, F.monotonically_increasing_id())
+    own = [F.col(f"`{c}`") for c in raw.columns]
+    place = [F.col(f"`{c}`").alias(f"order_{i}") for i, c in enumerate(order)]
+    return raw.withColumn(SEQ, F.struct(*place, F.xxhash64(*own).alias("content")))
+
+
+def minute_readings(raw: DataFrame, meter: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Raw minute rows to typed readings ``(meter_id, ts, seq, 7 values)``."""
-    raw = with_place(raw)
+    raw = with_place(raw, order)
     who = F.col(meter).cast("string") if meter else F.lit("main")
     return raw.select(
         who.alias(METER),
@@ -70,9 +78,11 @@ def minute_readings(raw: DataFrame, meter: str | None = None) -> DataFrame:
     )
 
 
-def daily_rows(raw: DataFrame, meter: str | None = None, fmt: str = "yyyy-MM-dd", target: str | None = None) -> DataFrame:
+def daily_rows(
+    raw: DataFrame, meter: str | None = None, fmt: str = "yyyy-MM-dd", target: str | None = None, order: list[str] | None = None
+) -> DataFrame:
     """Raw daily rows to ``(meter_id, ts, seq, kwh, src_*)``."""
-    raw = with_place(raw)
+    raw = with_place(raw, order)
     target = target or resolve_target(raw)
     src = [c for c in raw.columns if c not in (SEQ, meter)]
     who = F.col(meter).cast("string") if meter else F.lit("main")
@@ -100,22 +110,24 @@ def prepare_daily(
     spine: bool | None = None,
     readings_per_hour: int = 60,
     target: str | None = None,
+    order: list[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Any raw table to ``(daily, report)``.
 
     The daily table has the energy, calendar and first lag columns; the report
     has one row per meter. ``spine`` fills missing days; by default that happens
     for minute data only, and a daily table keeps its rows as they are. ``target``
-    names the energy column of a daily table; else it is looked for.
+    names the energy column of a daily table; else it is looked for. ``order`` names
+    the columns that say which of several copies in a plain table is the first.
     """
     layout = layout or detect_layout(raw.columns)
     if layout == "minute":
-        readings = minute_readings(raw, meter)
+        readings = minute_readings(raw, meter, order)
         report = quality_report(readings, READING_COLUMNS, layout=layout)
         daily = resample_daily(clean_readings(readings), readings_per_hour=readings_per_hour)
         sums = ["power_sum", "sub1_wh", "sub2_wh", "sub3_wh", KWH, "remainder_wh"]
     else:
-        rows = daily_rows(raw, meter, fmt, target)
+        rows = daily_rows(raw, meter, fmt, target, order)
         report = quality_report(rows, [KWH], layout=layout)
         once = dedup_first(drop_invalid_time(rows), [METER, TS], SEQ)
         month = F.trunc(TS, "month")
