@@ -19,7 +19,6 @@ MINUTE_COLUMNS = {
     "Sub_metering_3": "sub3_wh",
 }
 READING_COLUMNS = list(MINUTE_COLUMNS.values())
-SUB_COLUMNS = ["sub1_wh", "sub2_wh", "sub3_wh"]
 
 # Texts that mean "no value" (the source's own markers, then the
 # defaults of common CSV readers).
@@ -60,9 +59,5 @@ FEATURES = (
 LEVEL_FEATURES = [c for c in FEATURES if c.startswith(("lag_", "rolling_", "diff_"))]
 
 HISTORY_ROWS = max(LAGS)
-HORIZONS = (7, 14, 30)
 EPS_PERCENT = 1e-3
 EPS_RATIO = 1e-5
-
-DAY_NAMES = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
-MONTH_NAMES = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
