@@ -184,6 +184,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     * A passage that repeats within one document, overlapping itself or not, goes at all its places.
     * Kept bytes need not be valid UTF-8: a cut may fall within a character.
     * A null ``doc_id`` and rows that repeat others are documents like any other.
+    * A very long text is read whole by one task; its places are then rows like all others.
     * Other columns are not read. An empty table gives no rows.
     """
     t = materialise(scan(docs).withColumn("uid", F.monotonically_increasing_id()), "suffixes")
