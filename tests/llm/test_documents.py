@@ -126,6 +126,24 @@ def test_links(docs, monkeypatch, chunk, neighbours):
     assert [got[i] for i in range(len(texts))] == brute_links(texts)
 
 
+def test_passages_do_not_make_long_texts_a_cluster(docs, monkeypatch):
+    """Each two of seven long texts share a sixth, one has a near copy: only the near copies are compared."""
+    held, kept = {}, jaccard.materialise
+
+    def counted(df, name):
+        out = kept(df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    shared = {(i, j): prose(500, 500 + 10 * i + j) for i in range(7) for j in range(i + 1, 7)}
+    texts = [" ".join(p for k, p in shared.items() if i in k) for i in range(7)]
+    texts.append(texts[3].replace(" ", " x ", 20))
+    got = {x.doc_id: (x.component_id, x.n_links) for x in jaccard.join(docs(texts)).collect()}
+    assert got == {i: (3, 1) if i in (3, 7) else (i, 0) for i in range(8)}
+    assert held["members"] == 2
+
+
 def test_links_on_edges(edges):
     rows = jaccard.join(edges).collect()
     assert len(rows) == edges.count() and all((r.component_id is None) == (r.doc_id is None) for r in rows)
