@@ -144,6 +144,33 @@ def test_passages_do_not_make_long_texts_a_cluster(docs, monkeypatch):
     assert held["members"] == 2
 
 
+@pytest.mark.parametrize("crowd", [jaccard.CROWD, 8])
+def test_crowded_passages_do_not_chain(docs, monkeypatch, crowd):
+    """Twelve texts share a passage that the order does not know as common, two of them are near copies. Another
+    ten are copies of one text but for a word: those are chained."""
+    held, kept = {}, jaccard.materialise
+
+    def counted(df, name):
+        out = kept(df, name)
+        held[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialise", counted)
+    monkeypatch.setattr(jaccard, "NEIGHBOURS", 2)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    monkeypatch.setattr(jaccard, "common_shingles", lambda docs: jaccard.Order(jaccard.np.zeros(0, "u8"), jaccard.np.zeros(0, "u2")))
+    rare = lambda seed: " ".join(f"{w}{seed}" for w in prose(300, seed).split())
+    texts = [f"{rare(900 + k)} {prose(25, 899)}" for k in range(11)]
+    texts.append(texts[4].replace(" ", " x ", 5))
+    base = rare(950).split()
+    texts += [" ".join([*base[: 20 * k], "changed", *base[20 * k + 1 :]]) for k in range(10)]
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in jaccard.join(docs(texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_links(texts)
+    assert got[11][1:] == (4, 1) and {got[i][1:] for i in range(12, 22)} == {(12, 9)}
+    # shingles in the prefixes of all of them still chain
+    assert held["members"] == (12 if crowd > 12 else 22)
+
+
 def test_links_on_edges(edges):
     rows = jaccard.join(edges).collect()
     assert len(rows) == edges.count() and all((r.component_id is None) == (r.doc_id is None) for r in rows)
